@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,3 +55,42 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from there."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def pack_planes(values: np.ndarray) -> bytes:
+    """Whole numbers as planes of bytes, the lowest first, without empty high planes.
+
+    Small numbers of a wide type then take little room once Spark has compressed them.
+    """
+    planes = values.astype("<u8").view(np.uint8).reshape(-1, 8).T
+    top = 8
+    while top and not planes[top - 1].any():
+        top -= 1
+    return planes[:top].tobytes()
+
+
+def unpack_planes(data: bytes, n: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    if n and data:
+        planes = np.frombuffer(data, np.uint8).reshape(-1, n)
+        out[:, : len(planes)] = planes.T
+    return out.view("<u8").ravel()
+
+
+def pack_sorted(values: np.ndarray) -> bytes:
+    """Rising uint64 numbers as planes of their differences."""
+    return pack_planes(np.diff(values, prepend=values.dtype.type(0)))
+
+
+def unpack_sorted(data: bytes, n: int) -> np.ndarray:
+    return np.cumsum(unpack_planes(data, n), dtype=np.uint64)
+
+
+def sort_order(keys: np.ndarray, bits: int = 64) -> np.ndarray:
+    """Positions that sort uint64 keys of ``bits`` bits: radix passes over 16 bits each."""
+    order = None
+    for shift in range(0, bits, 16):
+        digit = ((keys if order is None else keys[order]) >> np.uint64(shift)).astype(np.uint16)
+        step = np.argsort(digit, kind="stable")
+        order = step if order is None else order[step]
+    return order

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, packing, secret_scan, simhash
+from . import mixing, packing, ppm, secret_scan, simhash
 
 
 def tokenizer_file() -> str:
@@ -20,6 +20,23 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log10 probability by a byte model and by smoothed unigrams."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 10 == 0, F.lit(False))
+    scored = ppm.score_corpus(docs.withColumn("train", ~held), "train")
+    return scored.select(
+        "doc_id",
+        (~F.col("train")).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        "train_tokens",
+        "base_score",
+        "score",
+        "bits_per_byte",
+    )
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 3-word SimHash fingerprints differ in 3 bits at most."""
     found = simhash.simhash_components(_table(spark, sf_dir, "documents"), shingle=3, radius=3)
@@ -48,6 +65,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ppm": op1_ppm,
         "op2_simhash": op2_simhash,
         "op3_mix": op3_mix,
         "op4_pack": op4_pack,
