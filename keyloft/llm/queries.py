@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, packing, ppm, secret_scan, simhash
+from . import mixing, packing, ppm, secret_scan, simhash, substring
 
 
 def tokenizer_file() -> str:
@@ -57,6 +57,12 @@ def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the words of 20-word windows that start earlier elsewhere."""
+    found = substring.dedup_substrings(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document: counts, a digest of the base spans and all spans."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -69,6 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_simhash": op2_simhash,
         "op3_mix": op3_mix,
         "op4_pack": op4_pack,
+        "op5_substring": op5_substring,
         "op10_secrets": op10_secrets,
     }
 
