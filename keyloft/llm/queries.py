@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, packing, ppm, secret_scan, simhash, substring
+from . import mixing, packing, ppm, pq, secret_scan, simhash, substring, topk
 
 
 def tokenizer_file() -> str:
@@ -63,6 +63,16 @@ def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of cosine 0.98 or more between embeddings of one label."""
+    return pq.near_vectors(_table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best integer inner products for every 20th vector."""
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, scale=64, k=20)
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document: counts, a digest of the base spans and all spans."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -76,6 +86,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_mix": op3_mix,
         "op4_pack": op4_pack,
         "op5_substring": op5_substring,
+        "op7_pq": op7_pq,
+        "op9_topk": op9_topk,
         "op10_secrets": op10_secrets,
     }
 
