@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, packing, ppm, pq, secret_scan, simhash, substring, topk
+from . import langid, licences, mixing, packing, ppm, pq, secret_scan, simhash, substring, topk
 
 
 def tokenizer_file() -> str:
@@ -63,6 +63,41 @@ def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+LANGUAGES = ["de", "en", "es", "fr"]
+
+
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every page, from its text, markup, suffix and host."""
+    model = langid.fit(_table(spark, sf_dir, "documents"), LANGUAGES)
+    html, url = F.col("html"), F.col("url")
+    found = langid.identify(
+        _table(spark, sf_dir, "pages"),
+        model,
+        LANGUAGES,
+        text=langid.text_of(html),
+        declared=langid.declared_of(html),
+        host=langid.host_of(url),
+        keep=["page_id"],
+    )
+    return found.withColumn("probability", F.round("probability", 6))
+
+
+def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence of every document, its own or its directory's.
+
+    Documents have no paths, so they are given some: source, language, hundred,
+    and a name.  Those of at most 300 characters stand for licence files.
+    """
+    docs = _table(spark, sf_dir, "documents")
+    name = F.when(F.length("text") <= 300, F.concat(F.lit("LICENSE."), F.col("doc_id"))).otherwise(
+        F.concat("doc_id", F.lit(".txt"))
+    )
+    folder = F.concat_ws("/", "source", "lang", F.floor(F.col("doc_id") / 100))
+    docs = docs.withColumn("path", F.concat_ws("/", folder, name))
+    found = licences.scan_licences(docs, keep=["doc_id"])
+    return found.withColumn("score", F.round("score", 6))
+
+
 def op7_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of cosine 0.98 or more between embeddings of one label."""
     return pq.near_vectors(_table(spark, sf_dir, "embeddings"), cosine=0.98)
@@ -86,7 +121,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_mix": op3_mix,
         "op4_pack": op4_pack,
         "op5_substring": op5_substring,
+        "op6_langid": op6_langid,
         "op7_pq": op7_pq,
+        "op8_licences": op8_licences,
         "op9_topk": op9_topk,
         "op10_secrets": op10_secrets,
     }
