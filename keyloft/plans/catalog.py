@@ -2,18 +2,487 @@
 
 from __future__ import annotations
 
+import io
+import json
+import struct
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..functions import sqlfuncs, text, vmap as V
+from ..operators import aggregate, extract as X, inference, tablefuncs as T
+from ..operators.table import RAW, LooseTable
+from ..sources import load
+
+Query = Callable[[SparkSession, str], DataFrame]
+_REGISTRY: dict[str, tuple[Query, str | None]] = {}
+
+
+def _query(sql: str | None = None) -> Callable[[Query], Query]:
+    def keep(f: Query) -> Query:
+        _REGISTRY[f.__name__.removeprefix("q_")] = (f, sql)
+        return f
+
+    return keep
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "events").withColumn(RAW, X.mapjsonextractor(F.col("props")))
+
+
+def _supplier_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = V.vmap_of_present(
+        S_NAME=F.col("s_name"), nation=F.col("s_nationkey"), odd=F.when(F.col("s_suppkey") % 2 == 1, F.col("s_suppkey"))
+    )
+    return _table(spark, sf_dir, "supplier").withColumn(RAW, made)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Parse JSON, look a key up in any case, aggregate."""
+    k = V.maplookup(F.col(RAW), "K").try_cast("bigint")
+    return _events(spark, sf_dir).groupBy("event_type").agg(F.count("*").alias("n"), F.sum(k).alias("total"), F.max(k).alias("top"))
+
+
+@_query("SELECT event_type, count(*) AS n, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS total, max(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS top FROM events GROUP BY 1")
+def q_flagship(spark, sf_dir):
+    return flagship(spark, sf_dir)
+
+
+@_query("SELECT event_id, json_extract_string(props, '$.k') AS v FROM events")
+def q_maplookup(spark, sf_dir):
+    return _events(spark, sf_dir).select("event_id", V.maplookup(F.col(RAW), "K").alias("v"))
+
+
+@_query("SELECT event_id, json_extract_string(props, '$.k') AS v FROM events")
+def q_maplookup_fast(spark, sf_dir):
+    made = X.fast_json_vmap(F.col("props"))
+    return _table(spark, sf_dir, "events").select("event_id", V.maplookup(made, "K").alias("v"))
+
+
+@_query("SELECT event_id, CAST(NULL AS VARCHAR) AS upper_key, json_extract_string(props, '$.k') AS lower_key, CASE WHEN length(json_extract_string(props, '$.k')) <= 1 THEN json_extract_string(props, '$.k') END AS short FROM events")
+def q_maplookup_options(spark, sf_dir):
+    vm = F.col(RAW)
+    return _events(spark, sf_dir).select(
+        "event_id",
+        V.maplookup(vm, "K", case_sensitive=True).alias("upper_key"),
+        V.maplookup(vm, "k", case_sensitive=True).alias("lower_key"),
+        V.maplookup(vm, "k", buffer_size=1).alias("short"),
+    )
+
+
+@_query("SELECT s_suppkey, true AS has_name, s_suppkey % 2 = 1 AS has_odd, CAST(s_nationkey AS VARCHAR) = '3' OR (s_suppkey % 2 = 1 AND s_suppkey = 3) AS has_three FROM supplier")
+def q_mapcontains(spark, sf_dir):
+    vm = F.col(RAW)
+    return _supplier_map(spark, sf_dir).select(
+        "s_suppkey",
+        V.mapcontainskey(vm, "s_name").alias("has_name"),
+        V.mapcontainskey(vm, "ODD").alias("has_odd"),
+        V.mapcontainsvalue(vm, "3").alias("has_three"),
+    )
+
+
+@_query("SELECT s_suppkey, CAST(2 + s_suppkey % 2 AS BIGINT) AS size, CAST(1 AS BIGINT) AS version, CAST(-1 AS BIGINT) AS no_size, CAST(-1 AS BIGINT) AS no_version, CAST(0 AS BIGINT) AS empty_size FROM supplier")
+def q_mapsize_mapversion_emptymap(spark, sf_dir):
+    vm, none = F.col(RAW), F.lit(None).cast(V.VMAP)
+    return _supplier_map(spark, sf_dir).select(
+        "s_suppkey",
+        V.mapsize(vm).alias("size"),
+        V.mapversion(vm).alias("version"),
+        V.mapsize(none).alias("no_size"),
+        V.mapversion(none).alias("no_version"),
+        V.mapsize(V.emptymap()).alias("empty_size"),
+    )
+
+
+_ITEMS = """SELECT s_suppkey, 'nation' AS keys, CAST(s_nationkey AS VARCHAR) AS values FROM supplier
+UNION ALL SELECT s_suppkey, 'odd', CAST(s_suppkey AS VARCHAR) FROM supplier WHERE s_suppkey % 2 = 1
+UNION ALL SELECT s_suppkey, 'S_NAME', s_name FROM supplier"""
+
+
+@_query(f"SELECT s_suppkey, keys FROM ({_ITEMS})")
+def q_mapkeys(spark, sf_dir):
+    return T.mapkeys(_supplier_map(spark, sf_dir), RAW, "s_suppkey")
+
+
+@_query(f"SELECT s_suppkey, values FROM ({_ITEMS})")
+def q_mapvalues(spark, sf_dir):
+    return T.mapvalues(_supplier_map(spark, sf_dir), RAW, "s_suppkey")
+
+
+@_query(_ITEMS)
+def q_mapitems(spark, sf_dir):
+    return T.mapitems(_supplier_map(spark, sf_dir), RAW, "s_suppkey")
+
+
+@_query(f"""SELECT i.s_suppkey, s_nationkey, keys, CAST(octet_length(encode(values)) AS BIGINT) AS length, 'long varbinary' AS type_oid,
+row_num, row_number() OVER (PARTITION BY i.s_suppkey ORDER BY lower(keys)) - 1 AS field_num
+FROM ({_ITEMS}) i JOIN (SELECT s_suppkey, s_nationkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS row_num FROM supplier) r USING (s_suppkey)""")
+def q_mapkeysinfo(spark, sf_dir):
+    return T.mapkeysinfo(_supplier_map(spark, sf_dir), RAW, ["s_suppkey"], ["s_nationkey"])
+
+
+@_query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_type ELSE json_extract_string(props, '$.k') END AS values FROM events")
+def q_mapvaluesorfield(spark, sf_dir):
+    df = _events(spark, sf_dir).withColumn(RAW, F.when(F.col("event_id") % 3 != 0, F.col(RAW)))
+    return T.mapvaluesorfield(df, RAW, "event_type", "event_id")
+
+
+@_query("""SELECT event_id, 'k' AS keys, json_extract_string(props, '$.k') AS values FROM events WHERE event_type <> 'click'
+UNION ALL SELECT event_id, 'k', 'c' FROM events WHERE event_type = 'click' UNION ALL SELECT event_id, 'k2', event_type FROM events""")
+def q_mapput(spark, sf_dir):
+    put = V.mapput(F.col(RAW), ["k", "k2"], F.when(F.col("event_type") == "click", "c").otherwise(V.maplookup(F.col(RAW), "k")), F.col("event_type"))
+    return T.mapitems(_events(spark, sf_dir).withColumn(RAW, put), RAW, "event_id")
+
+
+@_query("SELECT s_suppkey, concat('{\"nation\":\"', s_nationkey, '\"', CASE WHEN s_suppkey % 2 = 1 THEN concat(',\"odd\":\"', s_suppkey, '\"') ELSE '' END, ',\"S_NAME\":\"', s_name, '\"}') AS j FROM supplier")
+def q_maptojson(spark, sf_dir):
+    return _supplier_map(spark, sf_dir).select("s_suppkey", V.maptojson(F.col(RAW)).alias("j"))
+
+
+@_query("SELECT event_id, concat('{', chr(10), '   \"k\" : \"', json_extract_string(props, '$.k'), '\"', chr(10), '}', chr(10)) AS canonical, concat('{', chr(10), chr(9), '\"k\":', chr(9), '\"', json_extract_string(props, '$.k'), '\"', chr(10), ' }') AS plain FROM events")
+def q_maptostring(spark, sf_dir):
+    return _events(spark, sf_dir).select(
+        "event_id", V.maptostring(F.col(RAW)).alias("canonical"), V.maptostring(F.col(RAW), canonical_json=False).alias("plain")
+    )
+
+
+@_query("SELECT c_nationkey, c_name AS keys, c_mktsegment AS values FROM customer")
+def q_mapaggregate(spark, sf_dir):
+    made = aggregate.mapaggregate(_table(spark, sf_dir, "customer"), "c_name", "c_mktsegment", "c_nationkey")
+    return T.mapitems(made, "raw_map", "c_nationkey")
+
+
+def _part_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = F.concat_ws("|", F.concat(F.lit(" "), "p_name"), "p_brand", F.lit(""), "p_size")
+    return _table(spark, sf_dir, "part").select("p_partkey", line.alias("line"))
+
+
+@_query("SELECT p_partkey, trim(p_name) AS name, p_brand AS brand, CAST(NULL AS VARCHAR) AS none, CAST(p_size AS VARCHAR) AS extra, CAST(4 AS BIGINT) AS n, 'ucol0,ucol1,ucol2,ucol3' AS generic FROM part")
+def q_mapdelimitedextractor(spark, sf_dir):
+    made = X.mapdelimitedextractor(F.col("line"), header_names="name|brand|none")
+    bare = X.mapdelimitedextractor(F.col("line"))
+    return _part_text(spark, sf_dir).select(
+        "p_partkey",
+        V.maplookup(made, "name").alias("name"),
+        V.maplookup(made, "BRAND").alias("brand"),
+        V.maplookup(made, "none").alias("none"),
+        V.maplookup(made, "ucol3").alias("extra"),
+        V.mapsize(made).alias("n"),
+        F.array_join(F.transform(bare, lambda p: p["key"]), ",").alias("generic"),
+    )
+
+
+@_query("SELECT page_id, regexp_extract(url, '^([a-z]+)://([^/?#]+)', 1) AS scheme, regexp_extract(url, '^([a-z]+)://([^/?#]+)', 2) AS host FROM pages")
+def q_mapregexextractor(spark, sf_dir):
+    made = X.mapregexextractor(F.col("url"), pattern=r"^(?P<url_scheme>[a-z]+)://(?<host>[^/?#]+)")
+    return _table(spark, sf_dir, "pages").select(
+        "page_id", V.maplookup(made, "url_scheme").alias("scheme"), V.maplookup(made, "host").alias("host")
+    )
+
+
+def _nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inner = F.struct(F.col("o_custkey").alias("b"), F.array(F.struct(F.col("o_orderstatus").alias("s")), F.struct(F.col("o_orderpriority").alias("s"))).alias("l"))
+    return _table(spark, sf_dir, "orders").select("o_orderkey", F.to_json(F.struct(inner.alias("a"))).alias("j"))
+
+
+@_query("SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS b, concat('[[\"0.s\",\"', o_orderstatus, '\",0],[\"1.s\",\"', o_orderpriority, '\",0]]') AS nested FROM orders")
+def q_json_flatten_maps(spark, sf_dir):
+    made = X.mapjsonextractor(F.col("j"))
+    return _nested(spark, sf_dir).select("o_orderkey", V.maplookup(made, "a.b").alias("b"), V.maplookup(made, "a.l").alias("nested"))
+
+
+@_query("""SELECT o_orderkey, 'a_b' AS keys, CAST(o_custkey AS VARCHAR) AS values FROM orders UNION ALL SELECT o_orderkey, 'a_l_0_s', o_orderstatus FROM orders
+UNION ALL SELECT o_orderkey, 'a_l_1_s', o_orderpriority FROM orders""")
+def q_json_flatten_arrays(spark, sf_dir):
+    made = X.mapjsonextractor(F.col("j"), flatten_arrays=True, key_separator="_")
+    return T.mapitems(_nested(spark, sf_dir).withColumn(RAW, made), RAW, "o_orderkey")
+
+
+@_query("SELECT o_orderkey, CAST(1 AS BIGINT) AS n FROM orders")
+def q_json_nested_maps(spark, sf_dir):
+    made = X.mapjsonextractor(F.col("j"), flatten_maps=False)
+    return _nested(spark, sf_dir).select("o_orderkey", V.mapsize(made).alias("n"))
+
+
+@_query("SELECT count(*) FILTER (WHERE o_orderkey % 2 = 0) AS kept, count(*) FILTER (WHERE o_orderkey % 2 = 1) AS refused, count(*) AS all_kept, sum(CASE WHEN o_orderkey % 2 = 1 THEN 2 ELSE 1 END)::BIGINT AS pairs FROM orders")
+def q_json_reject_on_duplicate(spark, sf_dir):
+    doubled = F.when(F.col("o_orderkey") % 2 == 1, F.format_string('{"A": %d, "a": 2}', "o_orderkey")).otherwise(F.format_string('{"A": %d}', "o_orderkey"))
+    df = _table(spark, sf_dir, "orders").select(doubled.alias("value"))
+    strict = load.load_json(spark, df, record_terminator="\n", reject_on_duplicate=True)
+    loose = load.load_json(spark, df, record_terminator="\n").rows.agg(F.count("*").alias("all_kept"), F.sum(V.mapsize(F.col(RAW))).alias("pairs"))
+    both = strict.rows.select(F.lit(1).alias("ok")).unionByName(strict.rejects.select(F.lit(0).alias("ok")))
+    return both.agg(F.count_if(F.col("ok") == 1).alias("kept"), F.count_if(F.col("ok") == 0).alias("refused")).join(loose)
+
+
+@_query("SELECT n_nationkey AS k, n_name AS name FROM nation")
+def q_json_start_point(spark, sf_dir):
+    rows = _table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(
+        F.array_join(F.collect_list(F.to_json(F.struct("n_nationkey", "n_name"))), ",").alias("l")
+    )
+    df = rows.select(F.concat(F.lit('{"meta": {"rows": 5}, "data": {"rows": ['), "l", F.lit("]}, /* end */ \"x\": 1}")).alias("value"))
+    loaded = load.load_json(spark, df, {"n_nationkey": "int", "n_name": "string"}, start_point="rows")
+    return loaded.rows.select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name"))
+
+
+@_query("SELECT count(*) FILTER (WHERE event_id % 10 <> 0) AS kept, count(*) FILTER (WHERE event_id % 10 = 0) AS refused FROM events")
+def q_json_bad_records(spark, sf_dir):
+    text_ = F.when(F.col("event_id") % 10 == 0, F.concat(F.lit("{bad "), "props")).otherwise(F.col("props"))
+    loaded = load.load_json(spark, _table(spark, sf_dir, "events").select(text_.alias("value")), record_terminator="\n")
+    both = loaded.rows.select(F.lit(1).alias("ok")).unionByName(loaded.rejects.select(F.lit(0).alias("ok")))
+    return both.agg(F.count_if(F.col("ok") == 1).alias("kept"), F.count_if(F.col("ok") == 0).alias("refused"))
+
+
+@_query("SELECT CAST(event_id AS BIGINT) AS event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def q_load_json(spark, sf_dir):
+    line = F.concat(F.lit('{"event_id": '), "event_id", F.lit(', "inner": '), "props", F.lit("}"))
+    df = _table(spark, sf_dir, "events").select(line.alias("value"))
+    loaded = load.load_json(spark, df, {"event_id": "bigint", "inner.k": "bigint"}, record_terminator="\n")
+    return loaded.rows.select("event_id", F.col("`inner.k`").alias("k"))
+
+
+@_query("SELECT p_partkey, p_name AS name, p_size AS size, 'x' AS extra FROM part")
+def q_load_delimited(spark, sf_dir):
+    part = _table(spark, sf_dir, "part")
+    line = F.concat_ws("|", F.concat(F.lit(" "), "p_partkey", F.lit(" ")), "p_name", "p_size", F.lit("x")).alias("value")
+    loaded = load.load_delimited(
+        spark, part.select(line), {"p_partkey": "bigint", "name": "string", "size": "int"}, header=["p_partkey", "Name", "size"]
+    )
+    return loaded.rows.select("p_partkey", "name", "size", V.maplookup(F.col(RAW), "UCOL3").alias("extra"))
+
+
+@_query("SELECT p_partkey AS id, concat(p_name, ', ', chr(34), p_brand, chr(34), chr(10), 'end') AS name FROM part")
+def q_load_csv_rfc4180(spark, sf_dir):
+    cell = F.concat(F.lit('"'), "p_name", F.lit(', ""'), "p_brand", F.lit('""\nend"'))
+    df = _table(spark, sf_dir, "part").select(F.concat(F.lit("id,name\n"), "p_partkey", F.lit(","), cell, F.lit("\n")).alias("value"))
+    return load.load_csv(spark, df, {"id": "bigint", "name": "string"}).rows.select("id", "name")
+
+
+@_query("SELECT p_partkey AS id, concat(p_name, ';', p_brand) AS name, CAST(NULL AS VARCHAR) AS gone FROM part")
+def q_load_csv_traditional(spark, sf_dir):
+    df = _table(spark, sf_dir, "part").select(F.concat(F.lit("id;name;gone\n"), "p_partkey", F.lit(";"), "p_name", F.lit("\\;"), "p_brand", F.lit(";NIL")).alias("value"))
+    return load.load_csv(spark, df, {"id": "bigint", "name": "string", "gone": "string"}, type="traditional", delimiter=";", null="NIL").rows.select("id", "name", "gone")
+
+
+@_query("SELECT p_partkey, p_name AS p_name, CAST(p_size AS VARCHAR) AS size, concat(p_brand, '=x') AS brand, CAST(4 AS BIGINT) AS n FROM part")
+def q_load_pairs(spark, sf_dir):
+    line = F.concat(F.lit("Key="), "p_partkey", F.lit(", P_NAME = "), "p_name", F.lit(",junk,p_size="), "p_size", F.lit(",brand="), "p_brand", F.lit("=x"))
+    rows = load.load_pairs(spark, _table(spark, sf_dir, "part").select(line.alias("value")), {"key": "bigint"}).rows
+    vm = F.col(RAW)
+    return rows.select(
+        F.col("key").alias("p_partkey"), V.maplookup(vm, "p_name").alias("p_name"), V.maplookup(vm, "p_size").alias("size"), V.maplookup(vm, "brand").alias("brand"), V.mapsize(vm).alias("n")
+    )
+
+
+@_query("SELECT s_suppkey AS id, '0' AS version, concat(s_name, '|x') AS name, '5' AS severity, concat('hello ', s_name) AS msg, 'a=b' AS eq FROM supplier")
+def q_load_cef(spark, sf_dir):
+    line = F.concat(F.lit("CEF:0|V|P|1|sig|"), "s_name", F.lit("\\|x|5|id="), "s_suppkey", F.lit(" MSG=hello "), "s_name", F.lit(" eq=a\\=b"))
+    rows = load.load_cef(spark, _table(spark, sf_dir, "supplier").select(line.alias("value")), {"id": "bigint"}).rows
+    vm = F.col(RAW)
+    return rows.select("id", *[V.maplookup(vm, k).alias(k) for k in ("version", "name", "severity", "msg", "eq")])
+
+
+@_query("SELECT CAST(regexp_extract(url, '/([0-9]+)', 1) AS BIGINT) AS number, regexp_extract(url, '/([a-z]+)/[0-9]+', 1) AS lang, url FROM pages WHERE regexp_matches(url, '/[a-z]+/[0-9]+')")
+def q_load_regex(spark, sf_dir):
+    df = _table(spark, sf_dir, "pages").select(F.col("url").alias("value"))
+    rows = load.load_regex(
+        spark, df, {"number": "bigint", "lang": "string", "url": "string"}, pattern=r"/(?<lang>[a-z]+)/(?<number>[0-9]+)", loglinecolumn="url"
+    ).rows
+    return rows.select("number", "lang", "url")
+
+
+@_query("SELECT c_custkey AS id, c_mktsegment AS field, concat(c_name, chr(10), 'second line') AS content FROM customer")
+def q_load_idx(spark, sf_dir):
+    doc = F.concat(F.lit("\n#DREREFERENCE "), "c_custkey", F.lit('\n#DRETYPE x\n#DREFIELD Seg="'), "c_mktsegment", F.lit('"\n#DRECONTENT\n'), "c_name", F.lit("\nsecond line\n"))
+    rows = load.load_idx(spark, _table(spark, sf_dir, "customer").select(doc.alias("value")), {"drereference": "bigint"}).rows
+    vm = F.col(RAW)
+    return rows.select(F.col("drereference").alias("id"), V.maplookup(vm, "SEG").alias("field"), V.maplookup(vm, "drecontent").alias("content"))
+
+
+@_query("SELECT n_nationkey AS k, concat(n_name, ':x') AS name FROM nation")
+def q_load_dc(spark, sf_dir):
+    df = _table(spark, sf_dir, "nation").select(F.concat(F.lit("key:"), "n_nationkey", F.lit("\nname:"), "n_name", F.lit(":x\n")).alias("value"))
+    rows = load.load_dc(spark, df, {"key": "int"}).rows
+    return rows.select(F.col("key").alias("k"), V.maplookup(F.col(RAW), "name").alias("name"))
+
+
+def _avro_file(rows: list[dict], names: list[str], kinds: list[str]) -> bytes:
+    """A small container with one record type and one block, as a source for the loader."""
+
+    def long(n: int) -> bytes:
+        n, out = (n << 1) ^ (n >> 63), bytearray()
+        while n > 127:
+            out.append(n & 127 | 128)
+            n >>= 7
+        return bytes([*out, n])
+
+    def text_(s: str) -> bytes:
+        raw = s.encode()
+        return long(len(raw)) + raw
+
+    schema = {"type": "record", "name": "Row", "fields": [{"name": n, "type": k} for n, k in zip(names, kinds, strict=True)]}
+    body = io.BytesIO()
+    for row in rows:
+        for n, k in zip(names, kinds, strict=True):
+            body.write(long(row[n]) if k == "long" else struct.pack("<d", row[n]) if k == "double" else text_(row[n]))
+    block, sync = body.getvalue(), b"keyloft-sync-16b"
+    meta = {"avro.schema": json.dumps(schema), "avro.codec": "null"}
+    head = b"Obj\x01" + long(len(meta)) + b"".join(text_(k) + text_(v) for k, v in meta.items()) + long(0) + sync
+    return head + long(len(rows)) + long(len(block)) + block + sync
+
+
+@_query("SELECT s_suppkey AS id, s_name AS name, 'Row' AS kind FROM supplier")
+def q_load_avro(spark, sf_dir):
+    df = _table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+
+    def files(batches):
+        for batch in batches:
+            made = [_avro_file(batch.to_pylist(), ["s_suppkey", "s_name"], ["long", "string"])] if len(batch) else []
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], ["content"])
+
+    rows = load.load_avro(spark, df.mapInArrow(files, "content binary"), {"s_suppkey": "bigint", "s_name": "string"}).rows
+    return rows.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), V.maplookup(F.col(RAW), "__name__").alias("kind"))
+
+
+@_query("SELECT doc_id, count(*) AS n, count(DISTINCT token) AS kinds FROM (SELECT doc_id, unnest(string_split_regex(text, '[ \\t\\n\\v\\f\\r]+')) AS token FROM documents) WHERE token <> '' GROUP BY doc_id")
+def q_flextokenizer(spark, sf_dir):
+    df = _table(spark, sf_dir, "documents").select("doc_id", V.vmap_of(text=F.col("text")).alias(RAW))
+    made = T.flextokenizer(df, RAW, "doc_id")
+    return made.filter("token IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"), F.countDistinct("token").alias("kinds"))
+
+
+@_query("SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(string_split_regex(text, '[^A-Za-z]+')) AS token FROM documents) WHERE token <> '' GROUP BY doc_id")
+def q_flextokenizer_letters(spark, sf_dir):
+    df = _table(spark, sf_dir, "documents").select("doc_id", V.vmap_of(text=F.col("text")).alias(RAW))
+    return T.flextokenizer(df, RAW, "doc_id", tokenize_type="SPECIAL_CHARACTERS").groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+def _typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of several kinds from orders and lineitem columns."""
+    o = _table(spark, sf_dir, "orders")
+    stamp = F.date_format(F.col("o_orderdate") + F.expr("INTERVAL 1 HOUR"), "yyyy-MM-dd HH:mm:ss")
+    return o.select(
+        F.posexplode(
+            F.array(
+                F.col("o_orderkey").cast("string"),
+                F.format_string("%.2f", F.col("o_totalprice")),
+                F.when(F.col("o_orderkey") % 2 == 0, "true").otherwise("f"),
+                F.date_format("o_orderdate", "yyyy-MM-dd"),
+                stamp,
+                F.concat(stamp, F.lit("+02")),
+                F.lit("12:30:00"),
+                F.col("o_orderpriority"),
+                F.when(F.col("o_orderkey") % 4 == 0, F.lit("1.5")).otherwise(F.col("o_orderkey").cast("string")),
+                F.lit(None).cast("string"),
+                F.lit("1e10"),
+                F.lit("3 days"),
+            )
+        ).alias("kind", "v")
+    )
+
+
+_KINDS = ["Int8", "Numeric", "Bool", "Date", "Timestamp", "TimestampTz", "Time", "Varchar", "Numeric", "Varchar", "Float8", "Interval"]
+
+
+@_query("SELECT k.i AS kind, k.t AS type, (SELECT count(*) FROM orders) AS rowcnt, CAST(0 AS BIGINT) AS errcnt FROM (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in enumerate(_KINDS)) + ") k(i, t)")
+def q_pickbesttype(spark, sf_dir):
+    return inference.pickbesttype(_typed(spark, sf_dir), "v", "kind").select("kind", "type", "rowcnt", "errcnt")
+
+
+@_query("""SELECT 'Integer' AS old, 'Varchar(20)' AS new, CAST(1000 AS BIGINT) AS f1, CAST(20 AS BIGINT) AS f2, 'Integer' AS merged
+UNION ALL SELECT 'Date', 'Boolean', 1000, 700, 'Varchar(20)' UNION ALL SELECT 'Integer', 'Numeric(10,4)', 10, 10, 'Numeric(18,4)'
+UNION ALL SELECT 'Date', 'Timestamp', 5, 5, 'Timestamp' UNION ALL SELECT NULL, 'Float', 0, 3, 'Float' UNION ALL SELECT 'Varchar(30)', 'Varchar(70000)', 1, 1, 'Long Varchar(70000)'""")
+def q_pickbesttypemerge(spark, sf_dir):
+    rows = [("Integer", "Varchar(20)", 1000, 20), ("Date", "Boolean", 1000, 700), ("Integer", "Numeric(10,4)", 10, 10), ("Date", "Timestamp", 5, 5), (None, "Float", 0, 3), ("Varchar(30)", "Varchar(70000)", 1, 1)]
+    df = spark.createDataFrame(rows, "old string, new string, f1 long, f2 long")
+    return df.withColumn("merged", inference.pickbesttypemerge(*[F.col(c) for c in ("old", "f1", "new", "f2")]))
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> LooseTable:
+    p = _table(spark, sf_dir, "part")
+    made = V.vmap_of_present(
+        name=F.col("p_name"), size=F.col("p_size"), price=F.format_string("%.2f", "p_retailprice"), big=F.when(F.col("p_size") > 25, F.col("p_brand"))
+    )
+    return LooseTable(p.select(made.alias(RAW)), "parts")
+
+
+@_query("""SELECT 'name' AS key_name, count(*) AS frequency, concat('Varchar(', greatest(20, 2 * max(octet_length(encode(p_name)))), ')') AS data_type_guess FROM part
+UNION ALL SELECT 'size', count(*), 'Integer' FROM part
+UNION ALL SELECT 'price', count(*), concat('Numeric(', max(length(CAST(CAST(trunc(p_retailprice) AS BIGINT) AS VARCHAR))) + 5, ',3)') FROM part
+UNION ALL SELECT 'big', count(*), concat('Varchar(', greatest(20, 2 * max(length(p_brand))), ')') FROM part WHERE p_size > 25""")
+def q_compute_keys(spark, sf_dir):
+    return _parts(spark, sf_dir).keys()
+
+
+@_query("SELECT p_name AS name, CAST(p_size AS BIGINT) AS size, CASE WHEN p_size > 25 THEN p_brand END AS big FROM part")
+def q_build_view(spark, sf_dir):
+    return _parts(spark, sf_dir).view().select("name", "size", "big")
+
+
+@_query("SELECT 'name' AS key_name, 'ADDED' AS status, 'Added successfully' AS message UNION ALL SELECT 'price', 'ADDED', 'Added successfully'")
+def q_materialize_status(spark, sf_dir):
+    return _parts(spark, sf_dir).materialize(2)[1]
+
+
+@_query("SELECT p_name AS name, CAST(p_size AS VARCHAR) AS size, CAST(NULL AS VARCHAR) AS unknown FROM part WHERE p_size > 10")
+def q_materialized_select(spark, sf_dir):
+    table = _parts(spark, sf_dir).materialize(2)[0]
+    return table.where(table.col("size").try_cast("int") > 10).select("name", "size", "unknown")
+
+
+@_query("SELECT s_name AS name, CAST(s_nationkey AS VARCHAR) AS nation, 'supplier' AS kind FROM supplier UNION ALL SELECT c_name, CAST(c_nationkey AS VARCHAR), NULL FROM customer")
+def q_insert(spark, sf_dir):
+    table = LooseTable.empty(spark)
+    suppliers = _table(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation"), F.lit("supplier").alias("kind"))
+    customers = _table(spark, sf_dir, "customer").select(F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation"))
+    return table.insert(suppliers).insert(customers).select("name", "nation", "kind")
+
+
+@_query("""WITH o AS (SELECT n_name AS k, count(*) AS n FROM nation GROUP BY 1)
+SELECT k AS key_name, n + CASE WHEN n_nationkey < 10 THEN 1 ELSE 0 END AS frequency, 'Varchar(20)' AS data_type_guess FROM o JOIN nation ON k = n_name""")
+def q_merge_keys(spark, sf_dir):
+    nation = _table(spark, sf_dir, "nation")
+
+    def keys(df):
+        made = V.normalize_vmap(F.array(V.pair(F.col("n_name"), F.lit("x"))))
+        return LooseTable(df.select(made.alias(RAW))).keys()
+
+    return inference.merge_keys(keys(nation), keys(nation.filter("n_nationkey < 10")))
+
+
+@_query("SELECT s_suppkey, s_name AS v, true AS has, CAST(2 + s_suppkey % 2 AS BIGINT) AS n, CAST(1 AS BIGINT) AS ver, false AS valued, CAST(0 AS BIGINT) AS none FROM supplier")
+def q_sql_functions(spark, sf_dir):
+    sqlfuncs.register(spark)
+    _supplier_map(spark, sf_dir).createOrReplaceTempView("_loose_supplier")
+    return spark.sql(f"""SELECT s_suppkey, maplookup({RAW}, 's_NAME') AS v, mapcontainskey({RAW}, 'NATION') AS has, mapsize({RAW}) AS n,
+        mapversion({RAW}) AS ver, mapcontainsvalue({RAW}, 'nothing') AS valued, mapsize(emptymap()) AS none FROM _loose_supplier""")
+
+
+@_query("SELECT n_nationkey, count(*) AS n, count(DISTINCT c_mktsegment) AS segments FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 0 GROUP BY 1 ORDER BY n DESC, n_nationkey LIMIT 10")
+def q_loose_join_topk(spark, sf_dir):
+    """Host operations on looked-up keys: filter, join, aggregation, top-k."""
+    c = _table(spark, sf_dir, "customer").select(V.vmap_of(nation=F.col("c_nationkey"), seg=F.col("c_mktsegment"), bal=F.col("c_acctbal")).alias(RAW))
+    table = LooseTable(c)
+    rows = table.where(table.col("bal").try_cast("double") > 0).select("nation", "seg")
+    joined = rows.join(_table(spark, sf_dir, "nation"), F.col("nation").try_cast("int") == F.col("n_nationkey"))
+    return joined.groupBy("n_nationkey").agg(F.count("*").alias("n"), F.countDistinct("seg").alias("segments")).orderBy(F.desc("n"), "n_nationkey").limit(10)
+
+
+@_query("SELECT o_orderkey, o_orderpriority AS trimmed, lower(o_orderpriority) AS low, CASE WHEN octet_length(encode(o_orderpriority)) <= 6 THEN o_orderpriority END AS short FROM orders")
+def q_text_helpers(spark, sf_dir):
+    padded = F.concat(F.lit("\t \n"), "o_orderpriority", F.lit("\x0b\f\r "))
+    return _table(spark, sf_dir, "orders").select(
+        "o_orderkey", text.ascii_trim(padded).alias("trimmed"), text.ascii_lower(F.col("o_orderpriority")).alias("low"), text.fits(F.col("o_orderpriority"), 6).alias("short")
+    )
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return {name: f for name, (f, _) in _REGISTRY.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _REGISTRY.items() if sql}
