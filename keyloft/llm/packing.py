@@ -12,7 +12,9 @@ tasks, and a lost task is simply run again.
 
 from __future__ import annotations
 
+import hashlib
 import os
+import re
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -21,12 +23,19 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import raw_texts
+from .common import FOLD, raw_texts
 
+#: Texts are encoded about this many bytes at a time.
+TEXT_BYTES = 2_000_000
 #: Distinct words whose ids a worker remembers; the store is emptied when full.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 800_000
 #: Longer words are encoded each time, so the store stays small.
 CACHE_WORD_BYTES = 200
+#: A control character that stands between words encoded together, and how many are.
+BORDER = b"\x01"
+JOINED = 500
+#: Marks that the tokenizer splits off after a letter or digit; no apostrophe, which opens endings.
+MARKS = re.compile(rb"""(?<=[a-z0-9])([,.;:!?|)"]+)(?=[\x20\x09-\x0D]|\Z)""")
 #: Output rows are handed over in batches of about this many bytes of ids.
 BATCH_BYTES = 4_000_000
 
@@ -35,7 +44,11 @@ class WordEncoder:
     """Ids of whole texts for a tokenizer that never joins across ASCII white space.
 
     The tokenizer's normalizer and splitter treat white space as a border, so a
-    text's ids are its words' ids in a row.  Ids are little-endian uint32.
+    text's ids are its words' ids in a row.  A mark at the end of a word, after a
+    letter or digit, is split off by it as well, and case is folded; so texts are
+    folded and marks parted from words before any word is looked up.  Only new words
+    are encoded, many in one text with a control character between them.  Ids are
+    little-endian uint32.
     """
 
     def __init__(self, definition: str, special_as_text: bool = False):
@@ -45,29 +58,72 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = special_as_text
         self.known: dict[bytes, bytes] = {}
+        border = self._ids(BORDER)
+        self.border = int(border[0]) if len(border) == 1 else None
 
-    def _encode(self, words: list[bytes]) -> list[bytes]:
-        texts = [w.decode("utf-8", "replace") for w in words]
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in found]
+    def _ids(self, raw: bytes) -> np.ndarray:
+        text = raw.decode("utf-8", "replace")
+        found = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        return np.asarray(found, dtype="<u4")
 
-    def encode(self, raw: bytes | None) -> bytes:
-        words = raw.split() if raw else []
+    def _encode(self, words: list[bytes]) -> list[bytes]:
+        joined = [w for w in words if self.border is not None and BORDER not in w and b"<|" not in w]
+        out = {}
+        for lo in range(0, len(joined), JOINED):
+            part = joined[lo : lo + JOINED]
+            ids = self._ids((b" " + BORDER + b" ").join(part))
+            ends = [*np.flatnonzero(ids == self.border).tolist(), len(ids)]
+            if len(ends) == len(part):
+                start = 0
+                for w, end in zip(part, ends, strict=True):
+                    out[w] = ids[start:end].tobytes()
+                    start = end + 1
+        return [out[w] if w in out else self._ids(w).tobytes() for w in words]
+
+    def words(self, raw: bytes | None) -> list[bytes]:
+        """Pieces of a text whose ids in a row are the text's: words, and marks at their ends."""
+        if not raw:
+            return []
+        if b"<|" in raw or b"\xcc" in raw or b"\xcd" in raw:  # special strings; marks that join with letters
+            return raw.split()
+        return MARKS.sub(rb" \1", raw.translate(FOLD)).split()
+
+    def encode(self, raws: list[bytes | None]) -> list[bytes]:
+        """Ids of each text.  Take texts of a few MB at a time: their new words are encoded together."""
         known = self.known
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            pass
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        if len(known) + len(new) > CACHE_WORDS:
+        if len(known) > CACHE_WORDS:
             known.clear()
-            new = list(dict.fromkeys(words))
-        held = {}
-        for lo in range(0, len(new), 20_000):
-            part = new[lo : lo + 20_000]
-            for w, ids in zip(part, self._encode(part), strict=True):
-                (known if len(w) <= CACHE_WORD_BYTES and len(known) < CACHE_WORDS else held)[w] = ids
-        return b"".join([known[w] if w in known else held[w] for w in words])
+        texts = [self.words(raw) for raw in raws]
+        new = [w for w in set().union(*texts) if w not in known]
+        known.update(zip(new, self._encode(new), strict=True))
+        out = [b"".join(map(known.__getitem__, ws)) for ws in texts]
+        for w in new:
+            if len(w) > CACHE_WORD_BYTES:
+                del known[w]
+        return out
+
+
+def encoder_of(definition: str, special_as_text: bool) -> WordEncoder:
+    """This process's encoder: what it has learnt serves later tasks of the same worker."""
+    import tokenizers
+
+    held = tokenizers.__dict__.setdefault("_word_encoders", {})
+    key = (hashlib.sha256(definition.encode()).digest(), special_as_text)
+    if key not in held:
+        held.clear()
+        held[key] = WordEncoder(definition, special_as_text)
+    return held[key]
+
+
+def _encoded(encoder: WordEncoder, raws: list[bytes | None]) -> Iterator[bytes]:
+    held, size = [], 0
+    for raw in raws:
+        held.append(raw)
+        size += len(raw or b"")
+        if size >= TEXT_BYTES:
+            yield from encoder.encode(held)
+            held, size = [], 0
+    yield from encoder.encode(held)
 
 
 def binary_lengths(n: int, limit: int) -> list[int]:
@@ -111,7 +167,7 @@ def pack(
     last = np.asarray([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(definition.value, special_as_text)
+        encoder = encoder_of(definition.value, special_as_text)
         part = TaskContext.get().partitionId()
         counts = [0] * 64
 
@@ -124,8 +180,8 @@ def pack(
 
         for batch in batches:
             cols, size = tuple([] for _ in range(6)), 0
-            for row, raw in enumerate(raw_texts(batch.column(1))):
-                ids = encoder.encode(raw) + last
+            for row, ids in enumerate(_encoded(encoder, raw_texts(batch.column(1)))):
+                ids += last
                 n = len(ids) // 4
                 at = 0
                 for piece in binary_lengths(n, limit):
