@@ -222,3 +222,199 @@ def simhash_components(
     least = joined.groupBy("c").agg(F.min("first").alias("component_id"))
     to = joined.join(least, "c").select("fp", "component_id")
     return rows.join(to, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+
+
+# Groups by a similarity of shingle sets.
+#
+# A similarity J of two sets of like size is a cosine of 2J / (1 + J), and a
+# fingerprint bit differs with the probability that the angle is of half a turn.
+# A single 64-bit word with a small radius would miss most pairs at J = 0.8, so a
+# fingerprint here has many words.  Each word is ball-hashed by itself, and enough
+# of them are taken that a pair at the border meets in at least one.  Pairs that
+# met are verified by all bits.
+
+WORD_RADIUS = 2
+#: Chance that a pair at the border is missed.
+MISSED = 0.005
+#: In a crowded bucket a row meets this many that follow it, and the first.
+MEET = 8
+#: Pairs within so many standard deviations of the border are compared by their sets.
+DOUBT = 3.0
+#: So many ids are broadcast at most.
+SMALL = 100_000
+
+
+def bit_chance(similarity: float) -> float:
+    """Chance that a bit differs between sets of that Jaccard similarity."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def layout(n: int, similarity: float) -> tuple[int, int]:
+    """Bits of a word and number of words for ``n`` fingerprints.
+
+    Words grow with the logarithm of ``n``, so chance meetings stay in proportion to it.
+    """
+    bits = min(60, max(24, math.ceil(math.log2(max(2, n))) + 14))
+    p = bit_chance(similarity)
+    meet_ = sum(math.comb(bits, i) * p**i * (1 - p) ** (bits - i) for i in range(WORD_RADIUS + 1))
+    return bits, math.ceil(math.log(MISSED) / math.log(1 - meet_))
+
+
+def shingles_of(raw: bytes | None, shingle: int) -> np.ndarray:
+    """Hashes of a text's distinct shingles."""
+    parts = words_of(raw, fold=True)
+    if not parts:
+        return np.zeros(0, np.uint64)
+    if len(parts) <= shingle:
+        pieces = {b" ".join(parts)}
+    else:
+        pieces = set(map(b" ".join, zip(*(itertools.islice(parts, i, None) for i in range(shingle)), strict=False)))
+    return np.fromiter(map(xxhash.xxh64_intdigest, pieces, itertools.repeat(SEED)), np.uint64, len(pieces))
+
+
+def _alike(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of ids whose texts' sets of shingles are that similar."""
+
+    @F.arrow_udf("binary")
+    def sets(texts: pa.Array) -> pa.Array:
+        return pa.array([np.sort(shingles_of(raw, shingle)).tobytes() for raw in raw_texts(texts)], pa.binary())
+
+    @F.arrow_udf("double")
+    def jaccard(a: pa.Array, b: pa.Array) -> pa.Array:
+        out = []
+        for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True):
+            both = np.sort(np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)]))
+            shared = int((both[1:] == both[:-1]).sum())
+            out.append(shared / max(1, len(both) - shared))
+        return pa.array(out, pa.float64())
+
+    ids = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+    wanted = F.broadcast(ids) if ids.count() <= SMALL else ids
+    held = cut(texts.join(wanted, "id", "left_semi").select("id", sets("t").alias("s")))
+    a, b = held.select(F.col("id").alias("a"), F.col("s").alias("sa")), held.select(F.col("id").alias("b"), F.col("s").alias("sb"))
+    return pairs.join(a, "a").join(b, "b").filter(jaccard("sa", "sb") >= similarity).select("a", "b")
+
+
+def long_fingerprint(raw: bytes | None, shingle: int, bits: int, words: int) -> np.ndarray:
+    """``words`` words of ``bits`` bits, by the majority over a text's distinct shingles."""
+    hashes = shingles_of(raw, shingle)
+    if not len(hashes):
+        return np.zeros(words, np.uint64)
+    streams = -(-bits * words // 64)
+    step = (np.arange(1, streams + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
+    counts = np.zeros(64 * streams, np.int64)
+    for at in range(0, len(hashes), 4096):
+        h = hashes[at : at + 4096, None] + step
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        h ^= h >> np.uint64(31)
+        counts += np.unpackbits(h.view(np.uint8), axis=1).sum(0, dtype=np.uint16)
+    on = (counts * 2 > len(hashes))[: bits * words].reshape(words, bits)
+    padded = np.zeros((words, 64), np.uint8)
+    padded[:, 64 - bits :] = on
+    return np.packbits(padded, axis=1).view(">u8").astype(np.uint64).ravel()
+
+
+def _bucket_pairs(words: np.ndarray, ids: np.ndarray, place: int, head: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of ids whose words share a variant, one flip away at most, that begins with ``place``."""
+    low = bits - head
+    flips = np.r_[np.uint64(0), np.uint64(1) << np.arange(bits, dtype=np.uint64)]
+    variants = (words[:, None] ^ flips[None, :]).ravel()
+    who = np.repeat(np.arange(len(words)), len(flips))
+    if head:
+        here = (variants >> np.uint64(low)) == np.uint64(place)
+        variants, who = variants[here], who[here]
+    # Within a bucket rows stand in a mixed order that differs from word to word.
+    mixed = (ids.astype(np.uint64) + words * np.uint64(3)) * np.uint64(0x9E3779B97F4A7C15)
+    rank = np.empty(len(ids), np.int64)
+    rank[np.argsort(mixed)] = np.arange(len(ids))
+    by_rank = np.argsort(rank[who], kind="stable")
+    variants, who = variants[by_rank], who[by_rank]
+    order = np.argsort(variants, kind="stable")
+    variants, who = variants[order], who[order]
+    same = variants[1:] == variants[:-1]
+    crowd = np.r_[same, False] | np.r_[False, same]
+    variants, who = variants[crowd], who[crowd]
+    if not len(who):
+        return ids[:0], ids[:0]
+    first = np.flatnonzero(np.r_[True, variants[1:] != variants[:-1]])
+    size = np.diff(np.r_[first, len(who)])
+    pairs = [np.stack([np.repeat(who[first], size), who])]
+    for d in range(1, MEET + 1):
+        near = np.flatnonzero(variants[d:] == variants[:-d])
+        pairs.append(np.stack([who[near], who[near + d]]))
+    a, b = np.concatenate(pairs, axis=1)
+    key = np.unique(np.minimum(a, b)[a != b] * len(ids) + np.maximum(a, b)[a != b])
+    return ids[key // len(ids)], ids[key % len(ids)]
+
+
+def similar_components(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8
+) -> DataFrame:
+    """Each row's id and ``component_id``: groups of texts with like sets of shingles.
+
+    Two texts are linked when their fingerprints differ in far fewer bits than those
+    of texts at that Jaccard similarity do, or about as many and the sets themselves
+    are that similar.  Texts of fewer words than a shingle are one shingle; texts
+    without words are linked with each other.  Ids are integers and unique;
+    a null id is a row of its own group, with a null ``component_id``.
+    An empty table gives an empty result.
+    """
+    narrow = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("t"))
+    bits, words = layout(narrow.count(), similarity)
+
+    @F.arrow_udf("binary")
+    def fp(texts: pa.Array) -> pa.Array:
+        return pa.array([long_fingerprint(raw, shingle, bits, words).tobytes() for raw in raw_texts(texts)], pa.binary())
+
+    rows = cut(narrow.withColumn("fp", fp("t")).select("id", "fp"))
+    classes = cut(rows.filter("id IS NOT NULL").groupBy("fp").agg(F.min("id").alias("cls")))
+    n = classes.count()
+    head = min(bits, max(0, math.ceil(math.log2(max(1, n * (bits + 1)) / PLACE_VARIANTS))))
+    heads = np.r_[0, 1 << np.arange(head)].astype(np.int64)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 2000):
+                part = batch.slice(at, 2000)
+                word = np.frombuffer(b"".join(part.column("fp").to_pylist()), np.uint64).reshape(len(part), words)
+                ids = part.column("cls").to_numpy()
+                out = {"word": [], "place": [], "words": [], "ids": []}
+                for j in range(words):
+                    own = (word[:, j] >> np.uint64(bits - head)).astype(np.int64)
+                    place = (own[:, None] ^ heads[None, :]).ravel()
+                    who = np.repeat(np.arange(len(part)), len(heads))
+                    order = np.argsort(place, kind="stable")
+                    place, who = place[order], who[order]
+                    starts = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+                    for p, group in zip(place[starts], np.split(who, starts[1:]), strict=True):
+                        for k, v in zip(out, (j, int(p), word[group, j].tobytes(), ids[group].tobytes()), strict=True):
+                            out[k].append(v)
+                yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("word", pa.int32()), ("place", pa.int64()), ("words", pa.binary()), ("ids", pa.binary())]))
+
+    def join(key: tuple, table: pa.Table) -> pa.Table:
+        word = np.frombuffer(b"".join(table.column("words").to_pylist()), np.uint64)
+        ids = np.frombuffer(b"".join(table.column("ids").to_pylist()), np.int64)
+        a, b = _bucket_pairs(word, ids, key[1].as_py(), head, bits)
+        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+
+    met = classes.mapInArrow(deal, "word int, place long, words binary, ids binary")
+    met = met.groupBy("word", "place").applyInArrow(join, "a long, b long").distinct()
+    p = bit_chance(similarity)
+    doubt = DOUBT * math.sqrt(p * (1 - p) / (bits * words))
+    low, high = (bits * words * x for x in (p - doubt, p + doubt))
+
+    @F.arrow_udf("long")
+    def differing(a: pa.Array, b: pa.Array) -> pa.Array:
+        x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint64).reshape(-1, words) for c in (a, b))
+        return pa.array(np.bitwise_count(x ^ y).sum(1, dtype=np.int64))
+
+    left, right = classes.select(F.col("cls").alias("a"), F.col("fp").alias("fa")), classes.select(F.col("cls").alias("b"), F.col("fp").alias("fb"))
+    scored = met.join(left, "a").join(right, "b").withColumn("d", differing("fa", "fb")).filter(F.col("d") <= high)
+    scored = cut(scored.select("a", "b", "d"))
+    open_ = _alike(scored.filter(F.col("d") > low).select("a", "b"), narrow, shingle, similarity)
+    links = scored.filter(F.col("d") <= low).select("a", "b").unionByName(open_)
+    comps = connected_components(links)
+    to = classes.join(comps, F.col("cls") == F.col("node"), "left")
+    to = to.select(F.col("fp").alias("_fp"), F.coalesce("component", "cls").alias("component_id"))
+    return rows.join(to, (F.col("fp") == F.col("_fp")) & F.col("id").isNotNull(), "left").select(F.col("id").alias(id_col), "component_id")
