@@ -17,6 +17,7 @@ found there.  A text that stands in thousands of documents is one entry a block.
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -24,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import pack_planes, pack_sorted, raw_texts, sort_order, unpack_planes, unpack_sorted
+from .common import pack_sorted, raw_texts, sort_order, sorted_unique, unpack_planes, unpack_sorted
 
 WIDTH = 20
 #: Bytes of text in a block and, about, behind a part.
@@ -73,9 +74,10 @@ class Block:
         self.width = width
         self.sizes = np.fromiter(map(len, self.words), np.int64, len(order))
         self.starts = np.cumsum(self.sizes) - self.sizes
-        known: dict[bytes, int] = {}
-        put = known.setdefault
-        flat = np.fromiter((put(w, len(known)) for ws in self.words for w in ws), np.int64, int(self.sizes.sum()))
+        every = list(itertools.chain.from_iterable(self.words))
+        known = dict(zip(dict.fromkeys(every), itertools.count()))
+        flat = np.fromiter(map(known.__getitem__, every), np.int64, len(every))
+        del every
         hashes = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, known)), "<u8").reshape(-1, 2)
         n = len(flat) - width + 1
         if n <= 0:
@@ -92,7 +94,7 @@ class Block:
         self.h2 = _rolled(hashes[flat, 1], width, MULTIPLIERS[1])[self.at]
 
     def short_keys(self, bits: int) -> np.ndarray:
-        return np.unique(self.h1 >> np.uint64(64 - bits))
+        return sorted_unique(self.h1 >> np.uint64(64 - bits))
 
     def pairs_in(self, short: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Windows whose short keys are listed: places, and the two hashes, in order of these."""
@@ -217,7 +219,7 @@ def _shared(table: pa.Table) -> pa.Table:
         old = runs.seen(h1, h2)
         twice.append(h1[old])
         runs.add(h1[~old], h2[~old])
-    twice = np.unique(np.concatenate(twice)) if twice else np.zeros(0, np.uint64)
+    twice = sorted_unique(np.concatenate(twice)) if twice else np.zeros(0, np.uint64)
     return _told([(b, p, _held(twice, h1)) for b, p, h1, _ in batches])
 
 
@@ -332,7 +334,7 @@ def _shortened(history: DataFrame, bits: int, parts: int) -> DataFrame:
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
-                h1 = np.unique(unpack_sorted(r["h1"], r["n"]) >> np.uint64(64 - bits))
+                h1 = sorted_unique(unpack_sorted(r["h1"], r["n"]) >> np.uint64(64 - bits))
                 rows.append(_sent(-1, h1, None, bits, parts))
             for table in rows:
                 yield from table.to_batches()
