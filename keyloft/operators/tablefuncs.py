@@ -30,12 +30,16 @@ def mapkeysinfo(df: DataFrame, vm: str, order: list[str], partition: list[str] |
     """Keys with the bytes of their values, their kind, and row and field numbers.
 
     ``row_num`` counts from 1 in ``order`` within ``partition``, null maps too;
-    ``field_num`` counts from 0 within the map.  With ``partition`` given, groups
-    are numbered side by side; without, one task numbers all rows.
+    ``field_num`` counts from 0 within the map.  Without ``partition`` each task
+    numbers its own rows as they come, without a shuffle, as the function does
+    where the host picks the partitions; ``order`` then names columns to keep.
     """
-    window = Window.partitionBy(*(partition or [])).orderBy(*order)
     keep = list(dict.fromkeys([*(partition or []), *order]))
-    numbered = df.withColumn("row_num", F.row_number().over(window).cast("long"))
+    if partition:
+        number = F.row_number().over(Window.partitionBy(*partition).orderBy(*order)).cast("long")
+    else:
+        number = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    numbered = df.withColumn("row_num", number)
     each = numbered.select(*keep, "row_num", F.posexplode(vm).alias("field_num", "_p"))
     return each.select(
         *keep,

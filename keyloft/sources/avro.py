@@ -9,8 +9,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyspark.sql import Column, functions as F
 
-from ..functions.vmap import Pair, nest, sorted_pairs
+from ..functions.vmap import VMAP, Pair, nest, sorted_pairs, to_arrow
 
 
 @dataclass(frozen=True)
@@ -170,6 +171,17 @@ def message_row(data: bytes, schema: str, o: AvroOptions | None = None) -> list[
     return row_of(decode(parsed, Reader(data), _names(parsed, {})), o or AvroOptions())
 
 
+def avro_vmap(message: Column, schema: str, **options) -> Column:
+    """Messages of a known schema, such as a queue delivers, as vmaps; null for null."""
+    o = AvroOptions(**options)
+
+    @F.arrow_udf(VMAP)
+    def run(messages: pa.Array) -> pa.Array:
+        return to_arrow(None if m is None else message_row(m, schema, o) for m in messages.to_pylist())
+
+    return run(message)
+
+
 def _snappy(block: bytes) -> bytes:
     body, crc = block[:-4], struct.unpack(">I", block[-4:])[0]
     size, shift = 0, 0

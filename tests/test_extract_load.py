@@ -174,6 +174,8 @@ def test_avro(spark):
     assert got == {"__name__": "R", "a.__name__": "In", "a.b": "7", "a.0.arr": "p", "a.1.arr": "q", "m.k": "true", "Color": "BLUE", "u": "", "x": "zz"}
     nested = dict((k, m) for k, _, m in avro.message_row(_datum(), json.dumps(AVRO), avro.AvroOptions(False, False, False)))
     assert nested["a"] and nested["m"] and not nested["u"]
+    messages = spark.createDataFrame([(bytearray(_datum()),), (None,)], "m binary").select(avro.avro_vmap(F.col("m"), json.dumps(AVRO)).alias("v")).collect()
+    assert len(messages[0]["v"]) == 8 and messages[1]["v"] is None
     assert avro.row_of(("text", "", "5"), avro.AvroOptions(), 3) == [("ucol3", "5", False)]
     data = _avro_file([{"n": 1, "s": "ä"}, {"n": 2, "s": ""}], ["n", "s"], ["long", "string"])
     df = spark.createDataFrame([(bytearray(data),)], "content binary")

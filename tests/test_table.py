@@ -43,7 +43,7 @@ def test_mountains(spark):
 
 def test_table_functions(spark):
     nested = X.mapjsonextractor(F.col("t"))
-    df = spark.createDataFrame([(1, '{"b":"a  b","l":["x y",null]}'), (2, None), (3, '{"e":"","s":"  "}')], "i int, t string").select("i", "t", nested.alias("m"))
+    df = spark.createDataFrame([(1, '{"b":"a  b","l":["x y",null]}'), (2, None), (3, '{"e":"","s":"  "}')], "i int, t string").coalesce(1).select("i", "t", nested.alias("m"))
     assert [(r["i"], r["token"]) for r in T.flextokenizer(df, "m", "i").collect()] == [(1, "a"), (1, "b"), (1, "x"), (1, "y"), (1, None), (3, None)]
     info = [(r["i"], r["keys"], r["length"], r["row_num"], r["field_num"]) for r in T.mapkeysinfo(df, "m", ["i"]).orderBy("i", "field_num").collect()]
     assert [x[:2] + x[3:] for x in info] == [(1, "b", 1, 0), (1, "l", 1, 1), (3, "e", 3, 0), (3, "s", 3, 1)]
