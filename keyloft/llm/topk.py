@@ -1,9 +1,9 @@
 """Exact top-k inner products by Fagin's threshold algorithm.
 
 Candidates are dealt into blocks; a block keeps, for each dimension, the list of
-its rows sorted by that component.  A query walks all lists at once from the
-end that its sign favours, scores every row it meets, and stops as soon as the
-score that the walk's present depth still allows cannot beat its k-th best.
+its rows sorted by that component.  Queries walk all lists at once, a few at a
+time, score every row they meet, and one stops as soon as the score that the
+walk's present depth still allows cannot beat its k-th best.
 Queries come in blocks as well, and every pair of blocks is a task of bounded
 size.  Each task hands on k rows a query; the best of these are taken by a
 window that Spark limits before the shuffle.
@@ -22,6 +22,8 @@ from .vectors import as_bytes, matrix
 
 BLOCK = 4096
 QUERIES = 1024
+#: Queries that read the lists together.
+TOGETHER = 128
 #: Depth to which the lists are read before the bound is first looked at; then it doubles.
 DEPTH = 32
 LIMIT = float(1 << 62)
@@ -34,43 +36,58 @@ def quantized(scale: int):
     return convert
 
 
-def threshold_search(query: np.ndarray, own: np.ndarray, ids: np.ndarray, rows: np.ndarray, lists: np.ndarray, k: int):
-    """The ``k`` best of ``rows`` for ``query``, best first, ties to the smaller id.
+def _best(scores: np.ndarray, rows: np.ndarray, k: int, exact: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` best columns of each line, ties to the smaller row number, best first."""
+    if exact:  # score and row number in one number that a float holds
+        key = scores * float(1 << 20) - rows
+        if key.shape[1] > k:
+            pick = np.argpartition(-key, k - 1, axis=1)[:, :k]
+            scores, rows, key = (np.take_along_axis(x, pick, 1) for x in (scores, rows, key))
+        order = np.argsort(-key, axis=1, kind="stable")
+    else:
+        order = np.stack([np.lexsort((r, -s)) for s, r in zip(scores, rows, strict=True)])[:, :k]
+    return np.take_along_axis(scores, order, 1), np.take_along_axis(rows, order, 1)
 
-    ``own`` marks rows that take no part.  ``lists[:, j]`` are the row numbers by
-    falling component ``j``.
+
+def threshold_search(queries: np.ndarray, own: np.ndarray, ids: np.ndarray, rows: np.ndarray, lists: np.ndarray, k: int):
+    """The ``k`` best rows for each query: scores and row numbers, best first, ties to the smaller id.
+
+    ``ids`` rise; ``own`` are the ids that are no candidates of their queries;
+    ``lists[:, j]`` are the row numbers by falling component ``j``.  Queries read the
+    lists together, from both ends, and leave one by one: a query is done when what
+    the lists can still hold for it, each component at its present depth, is less
+    than its k-th best.  Missing places have row number -1.
     """
-    n = len(rows)
-    dims = np.flatnonzero(query)
-    up = query[dims] > 0
-    met = own.copy()
-    best_rows, best_scores = np.zeros(0, np.int64), np.zeros(0, query.dtype)
+    n, m = len(rows), len(queries)
+    low = -np.inf if rows.dtype == np.float64 else -(1 << 200)
+    exact = rows.dtype == np.float64 and n < 1 << 20 and float(np.abs(rows).max()) * float(np.abs(queries).max()) * rows.shape[1] < 2**32
+    best_s = np.full((m, k), low, rows.dtype)
+    best_r = np.full((m, k), -1, np.int64)
+    gain, loss = np.maximum(queries, 0), np.minimum(queries, 0)
+    met = np.zeros(n, bool)
+    live, dims = np.arange(m), np.arange(rows.shape[1])
     lo, hi = 0, min(DEPTH, n)
     while True:
         new = np.zeros(n, bool)
-        new[lists[lo:hi, dims[up]].ravel()] = True
-        new[lists[n - hi : n - lo, dims[~up]].ravel()] = True
-        if not len(dims):
-            new[:], hi = True, n
-        new &= ~met
-        fresh = np.flatnonzero(new)
+        new[lists[lo:hi].ravel()] = True
+        new[lists[n - hi : n - lo].ravel()] = True
+        fresh = np.flatnonzero(new & ~met)
         met |= new
         if len(fresh):
-            best_rows = np.concatenate([best_rows, fresh])
-            best_scores = np.concatenate([best_scores, rows[fresh] @ query])
-            if len(best_rows) > k:
-                order = np.lexsort((ids[best_rows], -best_scores))[:k]
-                best_rows, best_scores = best_rows[order], best_scores[order]
+            scores = queries[live] @ rows[fresh].T
+            scores[ids[fresh][None, :] == own[live][:, None]] = low
+            every = np.concatenate([best_s[live], scores], axis=1)
+            which = np.concatenate([best_r[live], np.broadcast_to(fresh, scores.shape)], axis=1)
+            which[every == low] = -1
+            best_s[live], best_r[live] = _best(every, which, k, exact)
         if hi >= n:
             break
-        if len(best_rows) >= k:
-            edge = np.where(up, lists[hi - 1, dims], lists[n - hi, dims])
-            bound = (rows[edge, dims] * query[dims]).sum()
-            if bound < best_scores.min():  # an equal score could still win by its id
-                break
+        bound = gain[live] @ rows[lists[hi - 1], dims] + loss[live] @ rows[lists[n - hi], dims]
+        live = live[bound >= best_s[live].min(axis=1)]  # an equal score could still win by its id
+        if not len(live):
+            break
         lo, hi = hi, min(2 * hi, n)
-    order = np.lexsort((ids[best_rows], -best_scores))[:k]
-    return best_rows[order], best_scores[order]
+    return best_s, best_r
 
 
 def top_k(
@@ -119,12 +136,15 @@ def top_k(
             most = float(np.abs(data).max()) * float(np.abs(asked).max()) * data.shape[1]
             kind = np.float64 if most < 2**52 else object  # whole numbers stay exact either way
             data, asked = data.astype(kind), asked.astype(kind)
-            for qid, ask, q in zip(asking.column("id").to_pylist(), asking.column("ask").to_pylist(), asked, strict=True):
-                found, scores = threshold_search(q, ids == qid, ids, data, lists, k)
-                out["query_id"] += [qid] * len(found)
-                out["ask"] += [ask] * len(found)
-                out["id"] += ids[found].tolist()
-                out["score"] += [max(-(2**63), min(2**63 - 1, int(s))) for s in scores]
+            own, ask = asking.column("id").to_numpy(), asking.column("ask").to_numpy()
+            for lo in range(0, len(asked), TOGETHER):
+                part = slice(lo, lo + TOGETHER)
+                scores, found = threshold_search(asked[part], own[part], ids, data, lists, k)
+                at, place = np.nonzero(found >= 0)
+                out["query_id"] += own[part][at].tolist()
+                out["ask"] += ask[part][at].tolist()
+                out["id"] += ids[found[at, place]].tolist()
+                out["score"] += [max(-(2**63), min(2**63 - 1, int(s))) for s in scores[at, place]]
         return pa.table(out, schema=pa.schema([(c, pa.int64()) for c in out]))
 
     packed = rows.withColumn("c", F.pmod(F.xxhash64("id", "raw"), F.lit(blocks)).cast("long"))
