@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 
@@ -100,3 +101,12 @@ def sorted_unique(keys: np.ndarray) -> np.ndarray:
     """Distinct values in order; a sort beats the hash table of ``np.unique`` here."""
     keys = np.sort(keys)
     return keys[np.r_[True, keys[1:] != keys[:-1]]] if len(keys) else keys
+
+
+def release_memory() -> None:
+    """Give freed memory back to the system: a worker lives on after its task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # other C libraries have no such call
+        return

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import cut, raw_texts
+from .common import cut, raw_texts, release_memory
 
 #: Size of the trigram table, for each language.
 BUCKETS = 1 << 16
@@ -85,6 +85,7 @@ def _text_evidence(model, languages: list[str]):
                 sums += table[:, found[lo : lo + SLICE]].sum(1)
             # The last two: the chance level, and the number of trigrams.
             out.append([*(sums / TEMPER), -math.log(BUCKETS) * len(found) / TEMPER, float(len(found))])
+        release_memory()
         return pa.array(out, pa.list_(pa.float64()))
 
     return evidence

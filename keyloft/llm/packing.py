@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import FOLD, raw_texts
+from .common import FOLD, raw_texts, release_memory
 
 #: Texts are encoded about this many bytes at a time.
 TEXT_BYTES = 2_000_000
@@ -51,7 +51,8 @@ class WordEncoder:
     little-endian uint32.
     """
 
-    def __init__(self, definition: str, special_as_text: bool = False):
+    def __init__(self, definition: str, special_as_text: bool = False, remembered: int = CACHE_WORDS):
+        self.remembered = remembered
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -91,7 +92,7 @@ class WordEncoder:
     def encode(self, raws: list[bytes | None]) -> list[bytes]:
         """Ids of each text.  Take texts of a few MB at a time: their new words are encoded together."""
         known = self.known
-        if len(known) > CACHE_WORDS:
+        if len(known) > self.remembered:
             known.clear()
         texts = [self.words(raw) for raw in raws]
         new = [w for w in set().union(*texts) if w not in known]
@@ -103,15 +104,15 @@ class WordEncoder:
         return out
 
 
-def encoder_of(definition: str, special_as_text: bool) -> WordEncoder:
+def encoder_of(definition: str, special_as_text: bool, remembered: int = CACHE_WORDS) -> WordEncoder:
     """This process's encoder: what it has learnt serves later tasks of the same worker."""
     import tokenizers
 
     held = tokenizers.__dict__.setdefault("_word_encoders", {})
-    key = (hashlib.sha256(definition.encode()).digest(), special_as_text)
+    key = (hashlib.sha256(definition.encode()).digest(), special_as_text, remembered)
     if key not in held:
         held.clear()
-        held[key] = WordEncoder(definition, special_as_text)
+        held[key] = WordEncoder(definition, special_as_text, remembered)
     return held[key]
 
 
@@ -146,13 +147,15 @@ def pack(
     limit: int = 2048,
     end_id: int = 1,
     special_as_text: bool = False,
+    remembered: int = CACHE_WORDS,
 ) -> DataFrame:
     """Pack ``docs`` into sequences of power-of-two length.
 
     Returns a row per piece: the id column, ``start``, ``length``, ``ids``
     (little-endian uint32 bytes), ``doc_tokens``, ``sequence_id`` and ``offset``.
     ``limit`` must be a power of two.  The tokenizer's file is read once on the
-    driver and sent along; its size is that of the file.
+    driver and sent along; its size is that of the file.  A worker remembers the ids of
+    about ``remembered`` words from task to task, a quarter of a kilobyte each.
 
     A null or empty text gives one piece that holds ``end_id`` alone.  Repeated
     rows and repeated ids are packed each for itself; a null id is kept.  An
@@ -167,7 +170,7 @@ def pack(
     last = np.asarray([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(definition.value, special_as_text)
+        encoder = encoder_of(definition.value, special_as_text, remembered)
         part = TaskContext.get().partitionId()
         counts = [0] * 64
 
@@ -197,6 +200,7 @@ def pack(
                         cols, size = tuple([] for _ in range(6)), 0
             if cols[0]:
                 yield made(batch.column(0), cols)
+            release_memory()
 
     schema = f"k {id_field}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
     return narrow.mapInArrow(run, schema).withColumnRenamed("k", id_col)

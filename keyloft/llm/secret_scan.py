@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from .common import FOLD, raw_texts
+from .common import FOLD, raw_texts, release_memory
 
 #: The kinds in their order at equal starts.
 KINDS = ["assign", "access", "hex", "github", "npm", "slack", "stripe", "google", "jwt", "pem", "card"]
@@ -209,6 +209,7 @@ def scan_secrets(docs: DataFrame, *, text_col: str = "text", redact: str | None
             if changed:
                 columns[place] = pa.array(texts, pa.binary()).cast(columns[place].type)
             yield pa.RecordBatch.from_arrays([*columns, pa.array(spans, kind_of)], [*names, "secret_spans"])
+            release_memory()
 
     span = StructType().add("start", IntegerType()).add("end", IntegerType()).add("kind", StringType())
     return base.mapInArrow(run, StructType([*schema.fields, StructField("secret_spans", ArrayType(span))]))

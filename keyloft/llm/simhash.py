@@ -27,7 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut, raw_texts, words_of
+from .common import cut, raw_texts, release_memory, words_of
 from .components import connected_components, local_labels
 
 SEED = 42
@@ -277,7 +277,9 @@ def _alike(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float)
 
     @F.arrow_udf("binary")
     def sets(texts: pa.Array) -> pa.Array:
-        return pa.array([np.sort(shingles_of(raw, shingle)).tobytes() for raw in raw_texts(texts)], pa.binary())
+        made = [np.sort(shingles_of(raw, shingle)).tobytes() for raw in raw_texts(texts)]
+        release_memory()
+        return pa.array(made, pa.binary())
 
     @F.arrow_udf("double")
     def jaccard(a: pa.Array, b: pa.Array) -> pa.Array:
@@ -318,12 +320,11 @@ def long_fingerprint(raw: bytes | None, shingle: int, bits: int, words: int) ->
 def _bucket_pairs(words: np.ndarray, ids: np.ndarray, place: int, head: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of ids whose words share a variant, one flip away at most, that begins with ``place``."""
     low = bits - head
-    flips = np.r_[np.uint64(0), np.uint64(1) << np.arange(bits, dtype=np.uint64)]
-    variants = (words[:, None] ^ flips[None, :]).ravel()
-    who = np.repeat(np.arange(len(words)), len(flips))
-    if head:
-        here = (variants >> np.uint64(low)) == np.uint64(place)
-        variants, who = variants[here], who[here]
+    apart = (words >> np.uint64(low)) ^ np.uint64(place)
+    here, beside = np.flatnonzero(apart == 0), np.flatnonzero(np.bitwise_count(apart) == 1)
+    flips = np.r_[np.uint64(0), np.uint64(1) << np.arange(low, dtype=np.uint64)]
+    variants = np.concatenate([(words[here, None] ^ flips[None, :]).ravel(), words[beside] ^ (apart[beside] << np.uint64(low))])
+    who = np.concatenate([np.repeat(here, len(flips)), beside])
     # Within a bucket rows stand in a mixed order that differs from word to word.
     mixed = (ids.astype(np.uint64) + words * np.uint64(3)) * np.uint64(0x9E3779B97F4A7C15)
     rank = np.empty(len(ids), np.int64)
@@ -365,12 +366,14 @@ def similar_components(
 
     @F.arrow_udf("binary")
     def fp(texts: pa.Array) -> pa.Array:
-        return pa.array([long_fingerprint(raw, shingle, bits, words).tobytes() for raw in raw_texts(texts)], pa.binary())
+        made = [long_fingerprint(raw, shingle, bits, words).tobytes() for raw in raw_texts(texts)]
+        release_memory()
+        return pa.array(made, pa.binary())
 
     rows = cut(narrow.withColumn("fp", fp("t")).select("id", "fp"))
     classes = cut(rows.filter("id IS NOT NULL").groupBy("fp").agg(F.min("id").alias("cls")))
     n = classes.count()
-    head = min(bits, max(0, math.ceil(math.log2(max(1, n * (bits + 1)) / PLACE_VARIANTS))))
+    head = min(bits - 1, max(0, math.ceil(math.log2(max(1, n * (bits + 1)) / PLACE_VARIANTS)) + 1))
     heads = np.r_[0, 1 << np.arange(head)].astype(np.int64)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -396,6 +399,7 @@ def similar_components(
         word = np.frombuffer(b"".join(table.column("words").to_pylist()), np.uint64)
         ids = np.frombuffer(b"".join(table.column("ids").to_pylist()), np.int64)
         a, b = _bucket_pairs(word, ids, key[1].as_py(), head, bits)
+        release_memory()
         return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
 
     met = classes.mapInArrow(deal, "word int, place long, words binary, ids binary")
