@@ -230,16 +230,21 @@ def simhash_components(
 # fingerprint bit differs with the probability that the angle is of half a turn.
 # A single 64-bit word with a small radius would miss most pairs at J = 0.8, so a
 # fingerprint here has many words.  Each word is ball-hashed by itself, and enough
-# of them are taken that a pair at the border meets in at least one.  Pairs that
-# met are verified by all bits.
+# of them are taken that a pair at the border meets in at least one.
+#
+# Meeting is no link: every link is verified by the shingle sets themselves.  The
+# members of a crowded bucket are not paired there.  They make up a crowd, whose
+# members are all compared in bounded blocks, save those that links join already.
 
 WORD_RADIUS = 2
 #: Chance that a pair at the border is missed.
 MISSED = 0.005
-#: In a crowded bucket a row meets this many that follow it, and the first.
-MEET = 8
-#: Pairs within so many standard deviations of the border are compared by their sets.
+#: Pairs of buckets of at most so many are written out; larger ones make a crowd.
+BUCKET = 10
+#: Pairs whose bits differ by so many standard deviations more than at the border are not compared.
 DOUBT = 3.0
+#: Members and shingles of a block, about.
+BLOCK, LARGE_BLOCK, BLOCK_SHINGLES = 128, 1024, 1 << 19
 #: So many ids are broadcast at most.
 SMALL = 100_000
 
@@ -272,8 +277,8 @@ def shingles_of(raw: bytes | None, shingle: int) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, pieces, itertools.repeat(SEED)), np.uint64, len(pieces))
 
 
-def _alike(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of ids whose texts' sets of shingles are that similar."""
+def _wanted(texts: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
+    """``id``, ``s``: the sorted shingle sets of the texts that ``ids`` names."""
 
     @F.arrow_udf("binary")
     def sets(texts: pa.Array) -> pa.Array:
@@ -281,6 +286,14 @@ def _alike(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float)
         release_memory()
         return pa.array(made, pa.binary())
 
+    ids = cut(ids.distinct())
+    wanted = F.broadcast(ids) if ids.count() <= SMALL else ids
+    return cut(texts.join(wanted, "id", "left_semi").select("id", sets("t").alias("s")))
+
+
+def _alike(pairs: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of ids whose sets of shingles are that similar."""
+
     @F.arrow_udf("double")
     def jaccard(a: pa.Array, b: pa.Array) -> pa.Array:
         out = []
@@ -290,16 +303,12 @@ def _alike(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float)
             out.append(shared / max(1, len(both) - shared))
         return pa.array(out, pa.float64())
 
-    ids = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-    wanted = F.broadcast(ids) if ids.count() <= SMALL else ids
-    held = cut(texts.join(wanted, "id", "left_semi").select("id", sets("t").alias("s")))
     a, b = held.select(F.col("id").alias("a"), F.col("s").alias("sa")), held.select(F.col("id").alias("b"), F.col("s").alias("sb"))
     return pairs.join(a, "a").join(b, "b").filter(jaccard("sa", "sb") >= similarity).select("a", "b")
 
 
-def long_fingerprint(raw: bytes | None, shingle: int, bits: int, words: int) -> np.ndarray:
+def long_fingerprint(hashes: np.ndarray, bits: int, words: int) -> np.ndarray:
     """``words`` words of ``bits`` bits, by the majority over a text's distinct shingles."""
-    hashes = shingles_of(raw, shingle)
     if not len(hashes):
         return np.zeros(words, np.uint64)
     streams = -(-bits * words // 64)
@@ -317,36 +326,136 @@ def long_fingerprint(raw: bytes | None, shingle: int, bits: int, words: int) ->
     return np.packbits(padded, axis=1).view(">u8").astype(np.uint64).ravel()
 
 
-def _bucket_pairs(words: np.ndarray, ids: np.ndarray, place: int, head: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of ids whose words share a variant, one flip away at most, that begins with ``place``."""
+def _bucket_pairs(words: np.ndarray, ids: np.ndarray, place: int, head: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids whose words share a variant, one flip away at most, that begins with ``place``.
+
+    All pairs of small buckets, and with a flag the links that hold crowded ones together.
+    """
     low = bits - head
     apart = (words >> np.uint64(low)) ^ np.uint64(place)
     here, beside = np.flatnonzero(apart == 0), np.flatnonzero(np.bitwise_count(apart) == 1)
     flips = np.r_[np.uint64(0), np.uint64(1) << np.arange(low, dtype=np.uint64)]
     variants = np.concatenate([(words[here, None] ^ flips[None, :]).ravel(), words[beside] ^ (apart[beside] << np.uint64(low))])
     who = np.concatenate([np.repeat(here, len(flips)), beside])
-    # Within a bucket rows stand in a mixed order that differs from word to word.
-    mixed = (ids.astype(np.uint64) + words * np.uint64(3)) * np.uint64(0x9E3779B97F4A7C15)
-    rank = np.empty(len(ids), np.int64)
-    rank[np.argsort(mixed)] = np.arange(len(ids))
-    by_rank = np.argsort(rank[who], kind="stable")
-    variants, who = variants[by_rank], who[by_rank]
     order = np.argsort(variants, kind="stable")
     variants, who = variants[order], who[order]
     same = variants[1:] == variants[:-1]
     crowd = np.r_[same, False] | np.r_[False, same]
     variants, who = variants[crowd], who[crowd]
     if not len(who):
-        return ids[:0], ids[:0]
+        return ids[:0], ids[:0], np.zeros(0, bool)
     first = np.flatnonzero(np.r_[True, variants[1:] != variants[:-1]])
     size = np.diff(np.r_[first, len(who)])
-    pairs = [np.stack([np.repeat(who[first], size), who])]
-    for d in range(1, MEET + 1):
+    lead, large = np.repeat(who[first], size), np.repeat(size > BUCKET, size)
+    label = local_labels(len(ids), lead[large], who[large])
+    hung = np.flatnonzero(label != np.arange(len(ids)))
+    variants, who = variants[~large], who[~large]
+    pairs = [np.zeros((2, 0), np.int64)]
+    for d in range(1, BUCKET):
         near = np.flatnonzero(variants[d:] == variants[:-d])
         pairs.append(np.stack([who[near], who[near + d]]))
     a, b = np.concatenate(pairs, axis=1)
-    key = np.unique(np.minimum(a, b)[a != b] * len(ids) + np.maximum(a, b)[a != b])
-    return ids[key // len(ids)], ids[key % len(ids)]
+    a, b = np.minimum(a, b), np.maximum(a, b)
+    key = np.unique((a * len(ids) + b)[label[a] != label[b]])  # a crowd compares its own
+    a, b = np.r_[key // len(ids), label[hung]], np.r_[key % len(ids), hung]
+    return ids[a], ids[b], np.r_[np.zeros(len(key), bool), np.ones(len(hung), bool)]
+
+
+def _compare(ids: np.ndarray, sets: list[np.ndarray], label: np.ndarray, rows: np.ndarray | None, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links between sets that are alike and of different label, enough to join all that are linked.
+
+    Each of ``rows`` is compared with every other set.  Without it all pairs
+    are, save those within the component of the most common set.
+    """
+    size = np.array([len(x) for x in sets], np.int64)
+    who = np.repeat(np.arange(len(sets)), size)
+    _, token, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    start = np.r_[0, np.cumsum(size)]
+    posting = who[np.argsort(token, kind="stable")]
+    begin = np.r_[0, np.cumsum(count)]
+    label = np.unique(label, return_inverse=True)[1]
+    central = rows is None
+    if central:
+        rows = np.argsort(-np.add.reduceat(count[token], start[:-1]) / size, kind="stable")
+    links: list[tuple[int, int]] = []
+    for i in rows:
+        if central and i != rows[0] and label[i] == label[rows[0]]:
+            continue
+        own = token[start[i] : start[i + 1]]
+        shared = np.bincount(np.concatenate([posting[begin[t] : begin[t + 1]] for t in own]), minlength=len(sets))
+        near = np.flatnonzero((shared / np.maximum(1, size + size[i] - shared) >= similarity) & (label != label[i]))
+        for part in np.unique(label[near]):
+            links.append((i, near[label[near] == part][0]))
+            label[label == part] = label[i]
+    a, b = np.array(links, np.int64).reshape(-1, 2).T
+    return ids[a], ids[b]
+
+
+def _crowd_links(crowds: DataFrame, classes: DataFrame, held: DataFrame, links: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Links between all members of each crowd that are alike, enough to join all that are linked.
+
+    ``crowds`` (``node``, ``component``) are sets that met in crowded buckets.
+    The members are dealt into blocks, each with the member nearest the middle of
+    the crowd, and all pairs of a block are compared.  Those that are then not
+    joined with most of their crowd meet all other blocks in a grid.
+    """
+    of = crowds.select(F.col("node").alias("cls"), F.col("component").alias("crowd")).join(classes.select("cls", "n", "fp"), "cls")
+    size = of.groupBy("crowd").agg(F.count("*").alias("m"), F.sum("n").alias("all"))
+    side = F.least(F.lit(LARGE_BLOCK), F.greatest(F.lit(BLOCK), F.ceil(F.col("m") / 16)))
+    blocks = F.greatest(F.ceil(F.col("m") / side), F.ceil(F.col("all") / BLOCK_SHINGLES)).cast("int")
+    size = cut(size.select("crowd", "m", blocks.alias("blocks")))
+    of = cut(of.join(F.broadcast(size) if size.count() <= SMALL else size, "crowd").withColumn("block", F.pmod(F.xxhash64("cls"), "blocks").cast("int")))
+    large = of.filter("blocks > 1")
+
+    def middle(table: pa.Table) -> pa.Table:
+        rows = [x for x in table.column("fp").to_pylist() if x]
+        if not rows:
+            return table.select(["crowd", "fp"]).slice(0, 1)
+        on = np.unpackbits(np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1), axis=1).sum(0)
+        return pa.table({"crowd": table.column("crowd").slice(0, 1), "fp": pa.array([np.packbits(on * 2 > len(rows)).tobytes()], pa.binary())})
+
+    @F.arrow_udf("long")
+    def distance(a: pa.Array, b: pa.Array) -> pa.Array:
+        out = [int(np.bitwise_count(np.frombuffer(x, np.uint64) ^ np.frombuffer(y, np.uint64)).sum()) if x and y else 1 << 30 for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)]
+        return pa.array(out, pa.int64())
+
+    sample = large.filter(F.pmod(F.xxhash64("cls", F.lit(1)), F.ceil(F.col("m") / 64)) == 0).select("crowd", "fp")
+    centre = sample.groupBy("crowd").applyInArrow(middle, "crowd long, fp binary").withColumnRenamed("fp", "mid")
+    pivots = large.join(centre, "crowd", "left").groupBy("crowd", "blocks").agg(F.min(F.struct(distance("fp", "mid").alias("d"), "cls"))["cls"].alias("cls"))
+    pivots = pivots.select("crowd", "cls", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    dealt = of.select("crowd", "cls", "block").unionByName(pivots).distinct()
+    named = held.withColumnRenamed("id", "cls")
+
+    def within(table: pa.Table) -> pa.Table:
+        ids = table.column("cls").to_numpy()
+        a, b = _compare(ids, [np.frombuffer(x, np.uint64) for x in table.column("s").to_pylist()], ids, None, similarity)
+        release_memory()
+        return pa.table({"a": pa.array(a), "b": pa.array(b)})
+
+    found = cut(links.unionByName(dealt.join(named, "cls").groupBy("crowd", "block").applyInArrow(within, "a long, b long")))
+    if large.isEmpty():
+        return found
+    comps = connected_components(found)
+    large = large.select("crowd", "cls", "m", "blocks", "block").join(comps, F.col("cls") == F.col("node"), "left")
+    large = cut(large.withColumn("label", F.coalesce("component", "cls")).drop("node", "component"))
+    parts = large.groupBy("crowd", "label").agg(F.count("*").alias("k"))
+    most = parts.groupBy("crowd").agg(F.max(F.struct("k", "label"))["label"].alias("main"), F.sum("k").alias("sum"), F.max("k").alias("top"))
+    most = most.filter("sum > top").withColumn("left", F.col("sum") - F.col("top")).drop("sum", "top")
+    large = large.join(most, "crowd").withColumn("rows", F.ceil(F.col("left") * F.col("blocks") / F.col("m")).cast("int"))
+    line = F.pmod(F.xxhash64("cls", F.lit(2)), "rows").cast("int")
+    fields = ["crowd", "cls", "label"]
+    strays = large.filter("label != main").select(*fields, line.alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(True).alias("stray"))
+    others = large.select(*fields, F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), F.col("block").alias("j"), F.lit(False).alias("stray"))
+
+    def across(table: pa.Table) -> pa.Table:
+        ids, stray = table.column("cls").to_numpy(), table.column("stray").to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("s").to_pylist()]
+        a, b = _compare(ids, sets, table.column("label").to_numpy(), np.flatnonzero(stray), similarity)
+        release_memory()
+        return pa.table({"a": pa.array(a), "b": pa.array(b)})
+
+    grid = strays.unionByName(others).join(named, "cls").groupBy("crowd", "i", "j").applyInArrow(across, "a long, b long")
+    return found.unionByName(cut(grid))
 
 
 def similar_components(
@@ -354,25 +463,32 @@ def similar_components(
 ) -> DataFrame:
     """Each row's id and ``component_id``: groups of texts with like sets of shingles.
 
-    Two texts are linked when their fingerprints differ in far fewer bits than those
-    of texts at that Jaccard similarity do, or about as many and the sets themselves
-    are that similar.  Texts of fewer words than a shingle are one shingle; texts
-    without words are linked with each other.  Ids are integers and unique;
-    a null id is a row of its own group, with a null ``component_id``.
+    Two texts are linked when their sets of shingles have at least that Jaccard
+    similarity, which is computed for every pair that meets; of pairs that
+    are alike by just so much, a part of ``MISSED`` does not.  Texts of fewer words than a shingle are
+    one shingle; texts without words are linked with each other.  Ids are integers
+    and unique; a null id is a row of its own group, with a null ``component_id``.
     An empty table gives an empty result.
     """
     narrow = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("t"))
     bits, words = layout(narrow.count(), similarity)
 
-    @F.arrow_udf("binary")
-    def fp(texts: pa.Array) -> pa.Array:
-        made = [long_fingerprint(raw, shingle, bits, words).tobytes() for raw in raw_texts(texts)]
+    @F.arrow_udf("struct<key:binary,n:long,fp:binary>")
+    def describe(texts: pa.Array) -> pa.Array:
+        made = []
+        for raw in raw_texts(texts):
+            own = np.sort(shingles_of(raw, shingle))
+            fp = long_fingerprint(own, bits, words).tobytes() if len(own) else None
+            made.append((xxhash.xxh3_128_digest(own.tobytes()), len(own), fp))
         release_memory()
-        return pa.array(made, pa.binary())
-
-    rows = cut(narrow.withColumn("fp", fp("t")).select("id", "fp"))
-    classes = cut(rows.filter("id IS NOT NULL").groupBy("fp").agg(F.min("id").alias("cls")))
-    n = classes.count()
+        key, n, fp = zip(*made, strict=True) if made else ((), (), ())
+        fields = [pa.array(key, pa.binary()), pa.array(n, pa.int64()), pa.array(fp, pa.binary())]
+        return pa.StructArray.from_arrays(fields, ["key", "n", "fp"])
+
+    rows = cut(narrow.withColumn("d", describe("t")).select("id", "d.*"))
+    classes = cut(rows.filter("id IS NOT NULL").groupBy("key", "n", "fp").agg(F.min("id").alias("cls")))
+    many = classes.filter(F.col("n") > 0)
+    n = many.count()
     head = min(bits - 1, max(0, math.ceil(math.log2(max(1, n * (bits + 1)) / PLACE_VARIANTS)) + 1))
     heads = np.r_[0, 1 << np.arange(head)].astype(np.int64)
 
@@ -398,27 +514,28 @@ def similar_components(
     def join(key: tuple, table: pa.Table) -> pa.Table:
         word = np.frombuffer(b"".join(table.column("words").to_pylist()), np.uint64)
         ids = np.frombuffer(b"".join(table.column("ids").to_pylist()), np.int64)
-        a, b = _bucket_pairs(word, ids, key[1].as_py(), head, bits)
+        a, b, crowd = _bucket_pairs(word, ids, key[1].as_py(), head, bits)
         release_memory()
-        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b)), "crowd": pa.array(crowd)})
 
-    met = classes.mapInArrow(deal, "word int, place long, words binary, ids binary")
-    met = met.groupBy("word", "place").applyInArrow(join, "a long, b long").distinct()
+    met = many.select("cls", "fp").mapInArrow(deal, "word int, place long, words binary, ids binary")
+    met = cut(met.groupBy("word", "place").applyInArrow(join, "a long, b long, crowd boolean").distinct())
     p = bit_chance(similarity)
-    doubt = DOUBT * math.sqrt(p * (1 - p) / (bits * words))
-    low, high = (bits * words * x for x in (p - doubt, p + doubt))
+    high = bits * words * (p + DOUBT * math.sqrt(p * (1 - p) / (bits * words)))
 
     @F.arrow_udf("long")
     def differing(a: pa.Array, b: pa.Array) -> pa.Array:
         x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint64).reshape(-1, words) for c in (a, b))
         return pa.array(np.bitwise_count(x ^ y).sum(1, dtype=np.int64))
 
-    left, right = classes.select(F.col("cls").alias("a"), F.col("fp").alias("fa")), classes.select(F.col("cls").alias("b"), F.col("fp").alias("fb"))
-    scored = met.join(left, "a").join(right, "b").withColumn("d", differing("fa", "fb")).filter(F.col("d") <= high)
-    scored = cut(scored.select("a", "b", "d"))
-    open_ = _alike(scored.filter(F.col("d") > low).select("a", "b"), narrow, shingle, similarity)
-    links = scored.filter(F.col("d") <= low).select("a", "b").unionByName(open_)
+    left, right = many.select(F.col("cls").alias("a"), F.col("fp").alias("fa")), many.select(F.col("cls").alias("b"), F.col("fp").alias("fb"))
+    scored = met.filter("NOT crowd").join(left, "a").join(right, "b").filter(differing("fa", "fb") <= high).select("a", "b")
+    pairs = cut(scored)
+    crowds = cut(connected_components(met.filter("crowd").select("a", "b")))
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(crowds.select("node"))
+    held = _wanted(narrow, ids, shingle)
+    links = _crowd_links(crowds, classes, held, _alike(pairs, held, similarity), words, similarity)
     comps = connected_components(links)
     to = classes.join(comps, F.col("cls") == F.col("node"), "left")
-    to = to.select(F.col("fp").alias("_fp"), F.coalesce("component", "cls").alias("component_id"))
-    return rows.join(to, (F.col("fp") == F.col("_fp")) & F.col("id").isNotNull(), "left").select(F.col("id").alias(id_col), "component_id")
+    to = to.select(F.col("key").alias("_key"), F.coalesce("component", "cls").alias("component_id"))
+    return rows.join(to, (F.col("key") == F.col("_key")) & F.col("id").isNotNull(), "left").select(F.col("id").alias(id_col), "component_id")

@@ -227,6 +227,44 @@ def test_similar_groups(spark, empty):
     assert simhash.similar_components(empty).count() == 0
 
 
+def brute_groups(rows, shingle=5, similarity=0.8):
+    """Components of all pairs whose sets of shingles are alike, by plain comparison."""
+    sets = []
+    for _, text in rows:
+        w = [x.translate(FOLD) for x in WORD.findall(text or "")]
+        sets.append({" ".join(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))} if w else set())
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] == sets[j] or len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= similarity]
+    label = local_labels(len(rows), *np.array(links, np.int64).reshape(-1, 2).T)
+    return {rows[i][0]: rows[label[i]][0] for i in range(len(rows))}
+
+
+def groups_of(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    return {r["doc_id"]: r["component_id"] for r in simhash.similar_components(df).collect()}
+
+
+def test_similar_hub(spark, monkeypatch):
+    """Copies alike only to one original, which is not the least id, and others alike to one copy or none."""
+    monkeypatch.setattr(simhash, "BLOCK", 60)
+    rng = np.random.default_rng(5)
+    base = words(250, 1, 9000).split()
+
+    def edited(source, n, tag):
+        w = list(source)
+        for k, j in enumerate(rng.choice(len(w) // 6, n, replace=False)):
+            w[j * 6 + 3] = f"{tag}x{k}"
+        return w
+
+    copies = [edited(base, 4, f"c{i}") for i in range(400)]
+    far = [edited(base, 7, f"f{i}") for i in range(60)]
+    texts = copies + far + [edited(x, 3, f"g{i}") for i, x in enumerate(far[:20])]
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)] + [(9000, " ".join(base))]
+    want = brute_groups(rows)
+    assert collections.Counter(want.values())[0] > 300 and len(set(want.values())) > 20
+    assert groups_of(spark, rows) == want
+
+
+
 # 3. Mixing.
 
 
