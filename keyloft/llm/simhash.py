@@ -232,6 +232,9 @@ def simhash_components(
 # fingerprint here has many words.  Each word is ball-hashed by itself, and enough
 # of them are taken that a pair at the border meets in at least one.
 #
+# That probability does not hold for sets of few shingles, so those are joined by
+# their rarest shingles, which misses none.
+#
 # Meeting is no link: every link is verified by the shingle sets themselves.  The
 # members of a crowded bucket are not paired there.  They make up a crowd, whose
 # members are all compared in bounded blocks, save those that links join already.
@@ -241,8 +244,12 @@ WORD_RADIUS = 2
 MISSED = 0.005
 #: Pairs of buckets of at most so many are written out; larger ones make a crowd.
 BUCKET = 10
-#: Pairs whose bits differ by so many standard deviations more than at the border are not compared.
-DOUBT = 3.0
+#: Texts of at most so many shingles are joined by their rarest shingles.
+FEW = 64
+#: No two sets of any size at J = 0.8 or more differ in a bit with a greater chance.
+MOST_CHANCE = 0.19
+#: Chance that the bound on differing bits drops a pair at all.
+DROPPED = 1e-9
 #: Members and shingles of a block, about.
 BLOCK, LARGE_BLOCK, BLOCK_SHINGLES = 128, 1024, 1 << 19
 #: So many ids are broadcast at most.
@@ -265,6 +272,12 @@ def layout(n: int, similarity: float) -> tuple[int, int]:
     return bits, math.ceil(math.log(MISSED) / math.log(1 - meet_))
 
 
+def most_differing(bits: int, similarity: float) -> float:
+    """Of ``bits`` independent bits, more than this differ with a chance of ``DROPPED`` in a pair that is alike."""
+    p = max(MOST_CHANCE, 1.25 * bit_chance(similarity))
+    return bits * (p + math.sqrt(-math.log(DROPPED) / (2 * bits)))
+
+
 def shingles_of(raw: bytes | None, shingle: int) -> np.ndarray:
     """Hashes of a text's distinct shingles."""
     parts = words_of(raw, fold=True)
@@ -307,6 +320,29 @@ def _alike(pairs: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").filter(jaccard("sa", "sb") >= similarity).select("a", "b")
 
 
+def _few_pairs(few: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Pairs and crowd links of all small sets (``cls``, ``n``, ``s``) that may be alike.
+
+    Two sets that are alike share one of the rarest shingles of each: the
+    first ``n - ceil(similarity * n) + 1`` of them in one order for all sets.
+    """
+
+    @F.arrow_udf("array<long>")
+    def hashes(sets: pa.Array) -> pa.Array:
+        return pa.array([np.frombuffer(x, np.int64) for x in sets.to_pylist()], pa.list_(pa.int64()))
+
+    each = few.select("cls", "n", F.explode(hashes("s")).alias("h"))
+    counts = each.groupBy("h").agg(F.count("*").alias("k"))
+    ranked = each.join(counts, "h").groupBy("cls", "n").agg(F.sort_array(F.collect_list(F.struct("k", "h"))).alias("o"))
+    keep = (F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1).cast("int")
+    tokens = cut(ranked.select("cls", F.explode(F.slice("o", F.lit(1), keep)["h"]).alias("h")))
+    size = tokens.groupBy("h").agg(F.count("*").alias("k"), F.min("cls").alias("hub")).filter("k > 1")
+    tokens = cut(tokens.join(size, "h"))
+    small = tokens.filter(F.col("k") <= BUCKET)
+    pairs = small.select("h", F.col("cls").alias("a")).join(small.select("h", F.col("cls").alias("b")), "h").filter("a < b")
+    return pairs.select("a", "b").distinct(), tokens.filter((F.col("k") > BUCKET) & (F.col("cls") != F.col("hub"))).select(F.col("hub").alias("a"), F.col("cls").alias("b"))
+
+
 def long_fingerprint(hashes: np.ndarray, bits: int, words: int) -> np.ndarray:
     """``words`` words of ``bits`` bits, by the majority over a text's distinct shingles."""
     if not len(hashes):
@@ -464,30 +500,32 @@ def similar_components(
     """Each row's id and ``component_id``: groups of texts with like sets of shingles.
 
     Two texts are linked when their sets of shingles have at least that Jaccard
-    similarity, which is computed for every pair that meets; of pairs that
-    are alike by just so much, a part of ``MISSED`` does not.  Texts of fewer words than a shingle are
+    similarity, which is computed for every pair that meets.  All pairs meet where
+    one text has at most ``FEW`` shingles; of larger ones that are alike by just so
+    much, a part of ``MISSED`` does not.  Texts of fewer words than a shingle are
     one shingle; texts without words are linked with each other.  Ids are integers
     and unique; a null id is a row of its own group, with a null ``component_id``.
     An empty table gives an empty result.
     """
     narrow = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("t"))
     bits, words = layout(narrow.count(), similarity)
+    few = math.floor(FEW / similarity + 1e-9)
 
-    @F.arrow_udf("struct<key:binary,n:long,fp:binary>")
+    @F.arrow_udf("struct<key:binary,n:long,fp:binary,s:binary>")
     def describe(texts: pa.Array) -> pa.Array:
         made = []
         for raw in raw_texts(texts):
             own = np.sort(shingles_of(raw, shingle))
-            fp = long_fingerprint(own, bits, words).tobytes() if len(own) else None
-            made.append((xxhash.xxh3_128_digest(own.tobytes()), len(own), fp))
+            fp = long_fingerprint(own, bits, words).tobytes() if len(own) > FEW else None
+            made.append((xxhash.xxh3_128_digest(own.tobytes()), len(own), fp, own.tobytes() if len(own) <= few else None))
         release_memory()
-        key, n, fp = zip(*made, strict=True) if made else ((), (), ())
-        fields = [pa.array(key, pa.binary()), pa.array(n, pa.int64()), pa.array(fp, pa.binary())]
-        return pa.StructArray.from_arrays(fields, ["key", "n", "fp"])
+        key, n, fp, s = zip(*made, strict=True) if made else ((), (), (), ())
+        fields = [pa.array(key, pa.binary()), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(s, pa.binary())]
+        return pa.StructArray.from_arrays(fields, ["key", "n", "fp", "s"])
 
     rows = cut(narrow.withColumn("d", describe("t")).select("id", "d.*"))
-    classes = cut(rows.filter("id IS NOT NULL").groupBy("key", "n", "fp").agg(F.min("id").alias("cls")))
-    many = classes.filter(F.col("n") > 0)
+    classes = cut(rows.filter("id IS NOT NULL").groupBy("key", "n", "fp", "s").agg(F.min("id").alias("cls")))
+    many = classes.filter(F.col("n") > FEW)
     n = many.count()
     head = min(bits - 1, max(0, math.ceil(math.log2(max(1, n * (bits + 1)) / PLACE_VARIANTS)) + 1))
     heads = np.r_[0, 1 << np.arange(head)].astype(np.int64)
@@ -520,8 +558,7 @@ def similar_components(
 
     met = many.select("cls", "fp").mapInArrow(deal, "word int, place long, words binary, ids binary")
     met = cut(met.groupBy("word", "place").applyInArrow(join, "a long, b long, crowd boolean").distinct())
-    p = bit_chance(similarity)
-    high = bits * words * (p + DOUBT * math.sqrt(p * (1 - p) / (bits * words)))
+    high = most_differing(bits * words, similarity)
 
     @F.arrow_udf("long")
     def differing(a: pa.Array, b: pa.Array) -> pa.Array:
@@ -530,8 +567,9 @@ def similar_components(
 
     left, right = many.select(F.col("cls").alias("a"), F.col("fp").alias("fa")), many.select(F.col("cls").alias("b"), F.col("fp").alias("fb"))
     scored = met.filter("NOT crowd").join(left, "a").join(right, "b").filter(differing("fa", "fb") <= high).select("a", "b")
-    pairs = cut(scored)
-    crowds = cut(connected_components(met.filter("crowd").select("a", "b")))
+    few_pairs, few_crowds = _few_pairs(classes.filter((F.col("n") > 0) & (F.col("n") <= few)).select("cls", "n", "s"), similarity)
+    pairs = cut(scored.unionByName(few_pairs).distinct())
+    crowds = cut(connected_components(met.filter("crowd").select("a", "b").unionByName(few_crowds)))
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(crowds.select("node"))
     held = _wanted(narrow, ids, shingle)
     links = _crowd_links(crowds, classes, held, _alike(pairs, held, similarity), words, similarity)

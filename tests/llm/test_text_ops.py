@@ -265,6 +265,29 @@ def test_similar_hub(spark, monkeypatch):
 
 
 
+@pytest.mark.parametrize("n", [400, 6000])
+def test_similar_short(spark, n):
+    """Pairs of few shingles at the border, among ``n`` other texts: each is linked as its sets say."""
+    rows, want = [], {}
+    for i in range(150):
+        for k, (shared, more) in enumerate([(4, 1), (8, 2), (12, 3), (7, 2), (15, 4), (52, 13), (6, 1)]):
+            w = [f"a{i}b{k}c{j}" for j in range(shared + more + 4)]
+            at = 10_000 + 20 * i + 2 * k
+            rows += [(at, " ".join(w[: shared + 4])), (at + 1, " ".join(w))]
+            want |= {at: at, at + 1: at if shared / (shared + more) >= 0.8 else at + 1}
+    rows += [(j, words(12, 10_000 + j, 10**6)) for j in range(n)]
+    got = groups_of(spark, rows)
+    assert {k: v for k, v in got.items() if k >= 10_000} == want
+
+
+def test_similar_short_crowd(spark):
+    """Short texts with a common passage and near copies of one another, more than a bucket holds."""
+    passage = words(20, 3)
+    rows = [(i, f"{words(i % 9, i, 3000)} {passage} {words(i % 5, 900 + i, 3000)}") for i in range(150)]
+    rows += [(500 + i, " ".join([*words(24, 8).split()[: 24 - i % 6], f"end{i}"])) for i in range(60)]
+    assert groups_of(spark, rows) == brute_groups(rows)
+
+
 # 3. Mixing.
 
 
