@@ -17,7 +17,8 @@ Kinds, in their order at equal starts.  The first three are the base kinds.
 ``stripe``   live secret keys
 ``google``   API keys that begin ``AIza``
 ``jwt``      three base64url parts whose header decodes to JSON with ``alg``
-``pem``      the opening line of a private key
+``pem``      a private key, from its opening line to its END line or, where that is
+             missing, over the base64 lines that follow
 ``card``     13 to 19 digits, said to be a card, with a right Luhn sum
 """
 
@@ -82,6 +83,14 @@ PATTERNS = {
     "pem": re.compile(rb"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----"),
     "card": re.compile(rb"(?i:card)[ a-z]{0,16}[:#=]?\x20*([0-9](?:[ -]?[0-9]){12,18})(?![0-9])"),
 }
+KEY_END = re.compile(rb"-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----")
+#: Header lines and base64 lines of a key without an END line; the last may be short.
+#: Between lines stand white space, quotes, marks of comments, or line breaks as they are escaped.
+KEY_BODY = re.compile(
+    rb"""(?:(?:[\s"'`,;+>#*|]|\\[nrt])*+[A-Za-z][A-Za-z0-9-]{0,40}:\x20(?:[^\r\n\\]|\\(?![nr]))*+)*+"""
+    rb"""(?:(?:[\s"'`,;+>#*|]|\\[nrt])*+[A-Za-z0-9+/=]{16,}+)++"""
+    rb"""(?:(?:[\s"'`,;+>#*|]|\\[nrt])++[A-Za-z0-9+/=]{1,15}+(?=["'`]|[,;]*(?:[\r\n]|\\[nr]|\Z)))?"""
+)
 HEX_RUN = re.compile(rb"[0-9a-f]+")
 HEX_CLASS = bytes(104 if 48 <= b <= 57 or 97 <= b <= 102 else 46 for b in range(256))
 BASE62 = b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
@@ -112,6 +121,15 @@ def _jwt(token: bytes) -> bool:
     return isinstance(said, dict) and "alg" in said
 
 
+def _key_end(raw: bytes, at: int) -> int:
+    """Where the private key ends whose opening line ends at ``at``."""
+    following = raw.find(b"-----BEGIN", at)
+    if m := KEY_END.search(raw, at, following if following >= 0 else len(raw)):
+        return m.end()
+    m = KEY_BODY.match(raw, at)
+    return m.end() if m else at
+
+
 def _holds(kind: str, m: re.Match) -> bool:
     """Lengths and checksums that a match must pass."""
     text = m.group()
@@ -149,7 +167,7 @@ class Scanner:
             past = 0
             for at in sorted(starts):  # leftmost first; a match bars starts inside it
                 if at >= past and (m := PATTERNS[kind].match(raw, at)):
-                    past = m.end()
+                    past = _key_end(raw, m.end()) if kind == "pem" else m.end()
                     if _holds(kind, m):
                         lo = m.start(1) if kind == "card" else at
                         found.append((lo, past, kind))

@@ -486,6 +486,30 @@ def test_secrets(spark):
     assert secret_scan.scan_secrets(df.filter("doc_id > 99")).count() == 0
 
 
+def test_private_keys(spark):
+    rng = np.random.default_rng(3)
+    lines = ["".join(rng.choice(list("ABCdefGHI0123+/"), 64)) for _ in range(5)] + ["QUJD/w=="]
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    body = "\n".join(lines)
+    escaped = "\\n".join(lines)
+    texts = {
+        f"é {begin}\n{body}\n{end} tail": "é * tail",
+        f"a {begin}\r\nProc-Type: 4,ENCRYPTED\r\nDEK-Info: AES-128-CBC,AB\r\n\r\n" + "\r\n".join(lines) + f"\r\n{end}\nb": "a *\nb",
+        f'"key": "{begin}\\n{escaped}\\n{end}\\n", x': '"key": "*\\n", x',
+        f'"key": "{begin}\\n{escaped}", x': '"key": "*", x',
+        f"{begin}\n{body}\nand then some words": "*\nand then some words",
+        f"{begin}\nProc-Type: 4,ENCRYPTED\n\n{body}": "*",
+        f"{begin}\n{body}\n\nBoth: {begin}\n{body}\n{end}\n.": "*\n\nBoth: *\n.",
+        f"# {begin}\n# " + "\n# ".join(lines) + "\n": "# *\n",
+        f"starts with {begin} as a rule": "starts with * as a rule",
+    }
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    clean = {r["doc_id"]: r["text"] for r in secret_scan.scan_secrets(df, redact="*").collect()}
+    assert [clean[i] for i in range(len(texts))] == list(texts.values())
+    many = secret_scan.Scanner().spans((begin + "\n").encode() * 20_000)
+    assert len(many) == 20_000 and all(b - a == len(begin) for a, b, _ in many)
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.text(st.sampled_from("tokenTOKENsecretAKIA =:\"'0123456789abcdefé_"), max_size=60))
 def test_secret_spans(text):
