@@ -1,8 +1,9 @@
 """Licence scans: sparse TF-IDF cosine to templates, then inheritance by directory.
 
 Every line that speaks of licensing, the paragraph around it and, for licence
-files, the whole text are compared to the templates as sparse vectors; the idf of
-the templates' terms is counted over all files.  A file without a licence of its
+files, the whole text are compared to the templates as sparse vectors, as they are
+and in every stretch of a template's length, so that words beside a notice do not
+count against it; the idf of the templates' terms is counted over all files.  A file without a licence of its
 own takes that of the nearest directory at or above it that holds a licence file:
 each distinct directory is joined once with all directories on its way up, and
 files then look up their directory.
@@ -83,10 +84,12 @@ class Matcher:
         self.idf = {t: math.log((n + 1) / (frequency.get(t, 0) + 1)) + 1 for t in vocabulary()}
         self.other = math.log(n + 1) + 1  # terms of no template
         self.templates = []
+        self.vectors: list[tuple[int, dict[bytes, float]]] = []
         self.postings: dict[bytes, list[tuple[int, float]]] = {}
         for i, (name, text) in enumerate(TEMPLATES):
             weights = self._weights(terms_of(text.encode()))
             self.templates.append(name)
+            self.vectors.append((len(terms_of(text.encode())), weights))
             for t, w in weights.items():
                 self.postings.setdefault(t, []).append((i, w))
 
@@ -97,14 +100,45 @@ class Matcher:
 
     def best(self, raw: bytes) -> tuple[float, str]:
         scores: dict[int, float] = {}
-        for t, w in self._weights(terms_of(raw)).items():
+        most: dict[int, float] = {}
+        terms = terms_of(raw)
+        for t, w in self._weights(terms).items():
             for i, v in self.postings.get(t, ()):
                 scores[i] = scores.get(i, 0.0) + v * w
+                most[i] = most.get(i, 0.0) + v * v
         if not scores:
             return 0.0, ""
         top = max(scores.values())
+        for i in sorted(most, key=most.get, reverse=True):
+            # No stretch is nearer than the terms that it shares allow.
+            if math.sqrt(most[i]) < top - 1e-12:
+                break
+            scores[i] = max(scores[i], self._stretch(terms, i))
+            top = max(top, scores[i])
         return top, min(self.templates[i] for i, s in scores.items() if s >= top - 1e-12)
 
+    def _stretch(self, terms: list[bytes], i: int) -> float:
+        """The best cosine to template ``i`` of as many terms in a row as it has."""
+        length, vector = self.vectors[i]
+        if len(terms) <= length:
+            return 0.0
+        held: Counter = Counter()
+        dot = square = best = 0.0
+
+        def change(t: bytes, by: int) -> tuple[float, float]:
+            idf = self.idf.get(t, self.other)
+            was = (1 + math.log(held[t])) * idf if held[t] else 0.0
+            held[t] += by
+            now = (1 + math.log(held[t])) * idf if held[t] else 0.0
+            return (now - was) * vector.get(t, 0.0), now * now - was * was
+
+        for at, t in enumerate(terms):
+            moves = [change(t, 1)] + ([change(terms[at - length], -1)] if at >= length else [])
+            dot, square = dot + sum(m[0] for m in moves), square + sum(m[1] for m in moves)
+            if at >= length - 1:
+                best = max(best, dot / math.sqrt(square))
+        return min(best, 1.0)
+
     def scan(self, raw: bytes | None, whole: bool) -> tuple[float, str]:
         """The best score of any line or paragraph with a cue, and of the text if ``whole``."""
         if not raw or not CUES.search(low := raw.translate(FOLD)):

@@ -452,6 +452,21 @@ def test_licences(spark):
     assert licences.scan_licences(df.filter("i > 99"), keep=["i"]).count() == 0
 
 
+@pytest.mark.parametrize("n", [200, 50_000, 10_000_000])
+def test_licence_beside_words(n):
+    """A notice is found whatever stands beside it, at every number of files."""
+    share = {b"the": 0.9, b"under": 0.3, b"version": 0.05, b"license": 0.02, b"licensed": 0.02}
+    matcher = licences.Matcher(n, {t: int(share.get(t, 0.01) * n) for t in licences.vocabulary()})
+    for line, name in [
+        ("This library is released under the MIT License.", "MIT"),
+        ("Frobnicator is licensed under the Apache License, Version 2.0.", "Apache-2.0"),
+        ("Copyright 2024 Acme Corp. Licensed under the Apache License, Version 2.0.", "Apache-2.0"),
+    ]:
+        score, found = matcher.scan(line.encode(), False)
+        assert found == name and score > 0.999
+    assert matcher.scan(b"Copyright 2024 Acme Corp. All rights are with the owner of the work.", False)[0] < licences.LEAST
+
+
 # 10. Secrets.
 
 ASSIGN = re.compile(
