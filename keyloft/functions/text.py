@@ -18,7 +18,7 @@ def ascii_lower(c: Column) -> Column:
 
 def ascii_trim(c: Column) -> Column:
     """Without white space at either end."""
-    return F.regexp_replace(c, rf"\A{SPACE_CLASS}+|{SPACE_CLASS}+\z", "")
+    return F.btrim(c, F.lit(SPACE))
 
 
 def fits(c: Column, size: int) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import BooleanType, DateType, DecimalType, DoubleType, LongType, StringType, TimestampNTZType, TimestampType
 
 from ..functions.text import ascii_trim, may_have_timezone
@@ -26,7 +26,6 @@ WIDENS = [
 LONG_VALUE, MIN_STRING, MAX_SHORT_STRING = 50, 20, 65_000
 MORE_PRECISION, MORE_SCALE, NUMERIC_DIGITS = 3, 1, 15
 KEPT_SHARE, ERROR_SHARE, INT_PRECISION = 0.8, 0.20, 18
-ERROR_MAX = 10_000
 
 _NUMERIC = r"\A[+-]?\$?[+-]?([0-9]*)\.?([0-9]*)\z"
 _CLOCK = r"[0-9]{1,2}:[0-9]{2}(:[0-9]{2}(\.[0-9]+)?)?( ?[AaPp][Mm])?"
@@ -34,7 +33,10 @@ _DAY = r"[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}"
 
 
 def class_of(value: Column, is_map: Column | None = None) -> Column:
-    """The type that a value is taken for; null for null, empty and blank values."""
+    """The type that a value is taken for; null for null, empty and blank values.
+
+    The first character tells most types apart, so a value meets few patterns.
+    """
     v = ascii_trim(value)
     nested = F.lit(False) if is_map is None else is_map
     digits = F.length(F.regexp_extract(v, _NUMERIC, 1)) + F.length(F.regexp_extract(v, _NUMERIC, 2))
@@ -45,37 +47,61 @@ def class_of(value: Column, is_map: Column | None = None) -> Column:
         F.when(v.rlike(rf"\A{_DAY}([T ]{_CLOCK})?\z") & stamp.isNotNull(), F.when(midnight, "Date").otherwise("Timestamp"))
     )
     with_zone = F.when(v.rlike(rf"\A{_DAY}[T ]{_CLOCK}") & stamp.isNotNull(), "TimestampTz")
-    return (
-        F.when(value.isNull() | (v == ""), F.lit(None).cast("string"))
-        .when(nested, "VMap")
-        .when(F.octet_length(v) > LONG_VALUE, "Varchar")
-        .when(v.rlike(r"\A[+-]?[0-9]{1,19}\z") & v.try_cast(LongType()).isNotNull(), "Int8")
-        .when(F.lower(v).isin("t", "f", "true", "false", "y", "n", "yes", "no"), "Bool")
+    truth = F.lower(v).isin("t", "f", "true", "false", "y", "n", "yes", "no")
+    special = v.rlike(r"(?i)\A[+-]?(inf(inity)?|nan)\z") & v.try_cast(DoubleType()).isNotNull()
+    letters = F.when(truth, "Bool").when(special, "Float8").otherwise("Varchar")
+    numbers = (
+        F.when(v.rlike(r"\A[+-]?[0-9]{1,19}\z") & v.try_cast(LongType()).isNotNull(), "Int8")
         .when(v.rlike(_NUMERIC) & v.rlike("[0-9]") & (digits <= NUMERIC_DIGITS), "Numeric")
-        .when(v.rlike(r"[0-9]|(?i)\A[+-]?(inf(inity)?|nan)\z") & v.try_cast(DoubleType()).isNotNull() & ~v.rlike(r"[dDfF]\z"), "Float8")
-        .when(~zoned & no_zone.isNotNull(), no_zone)
+        .when(~v.rlike("[:dDfF]") & v.try_cast(DoubleType()).isNotNull(), "Float8")
+        .when(special, "Float8")
+    )
+    dated = (
+        F.when(~zoned & no_zone.isNotNull(), no_zone)
         .when(zoned & with_zone.isNotNull(), with_zone)
         .when(v.rlike(rf"\A{_CLOCK}\z"), "Time")
         .when(v.rlike(rf"\A{_CLOCK} ?([+-][0-9]{{1,2}}(:?[0-9]{{2}})?|Z|[A-Z]{{3,4}})\z"), "TimeTz")
         .when(v.rlike(r"(?i)\A-?[0-9]+ (days?( [0-9]{1,2}:[0-9]{2}(:[0-9]{2}(\.[0-9]+)?)?)?|hours?|minutes?|seconds?)\z"), "Interval")
-        .otherwise("Varchar")
     )
+    # Nothing but a plain number lacks a space, a colon and an inner minus.
+    shaped = v.rlike(r"[: ]|[0-9]-")
+    return (
+        F.when(value.isNull() | (v == ""), F.lit(None).cast("string"))
+        .when(nested, "VMap")
+        .when(F.octet_length(v) > LONG_VALUE, "Varchar")
+        .when(v.rlike(r"\A[A-Za-z]"), letters)
+        .when(~v.rlike(r"\A[0-9+$.-]"), "Varchar")
+        .otherwise(F.coalesce(F.when(~shaped, numbers), F.when(shaped, dated), F.lit("Varchar")))
+    )
+
 
+def classed(df: DataFrame, value: Column, *by: Column, is_map: Column | None = None) -> DataFrame:
+    """Counts of the values of each group: its columns, and ``_c`` for :func:`pickbesttyperesult`.
 
-def counters(value: Column, is_map: Column | None = None) -> Column:
-    """One aggregate that holds all counts of a group; see :func:`pickbesttyperesult`."""
-    kind = class_of(value, is_map)
+    Values are classed once, as they are grouped, and few rows of a group are left when
+    its classes are put side by side.
+    """
     v = ascii_trim(value)
-    whole = F.regexp_replace(F.regexp_extract(v, _NUMERIC, 1), "^0+", "")
     scale = F.length(F.regexp_extract(v, _NUMERIC, 2))
+    whole = F.length(F.regexp_replace(F.regexp_extract(v, _NUMERIC, 1), "^0+", ""))
+    first = df.groupBy(*by, class_of(value, is_map).alias("_kind")).agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.coalesce(F.max(F.octet_length(value)), F.lit(0)).alias("_len"),
+        F.coalesce(F.max(whole), F.lit(0)).alias("_whole"),
+        F.coalesce(F.max(scale), F.lit(0)).alias("_scale"),
+    )
+    kind, n = F.col("_kind"), F.col("_n")
     number = kind.isin("Numeric", "Int8")
-    return F.struct(
-        *[F.count_if(kind == t).alias(t) for t in TYPES],
-        F.coalesce(F.max(F.octet_length(value)), F.lit(0)).alias("len"),
-        F.coalesce(F.max(F.when(number, F.length(whole))), F.lit(0)).alias("whole"),
-        F.coalesce(F.max(F.when(number, scale)), F.lit(0)).alias("scale"),
-        F.count_if(kind.isNull()).alias("nulls"),
-        F.count(F.lit(1)).alias("rows"),
+    none = F.lit(0).cast("long")
+    return first.groupBy(*[c for c in first.columns if not c.startswith("_")]).agg(
+        F.struct(
+            *[F.coalesce(F.sum(F.when(kind == t, n)), none).alias(t) for t in TYPES],
+            F.coalesce(F.max("_len"), F.lit(0)).alias("len"),
+            F.coalesce(F.max(F.when(number, F.col("_whole"))), F.lit(0)).alias("whole"),
+            F.coalesce(F.max(F.when(number, F.col("_scale"))), F.lit(0)).alias("scale"),
+            F.coalesce(F.sum(F.when(kind.isNull(), n)), none).alias("nulls"),
+            F.coalesce(F.sum(n), none).alias("rows"),
+        ).alias("_c")
     )
 
 
@@ -86,9 +112,11 @@ def _widened(c: Column) -> dict[str, Column]:
     return out
 
 
-def pickbesttyperesult(c: Column, *, enforce_error_threshold: bool = False) -> Column:
+def pickbesttyperesult(c: Column, *, enforce_error_threshold: bool = False, error_max: int | None = None) -> Column:
     """Counters as (type, len, prec, scale, errcnt, rowcnt).
 
+    A group with more than ``error_max`` values that are nothing but text is text.
+
     The most frequent type wins, ties go to the one listed first in ``TYPES``; a
     group without values is text.  Under the threshold a type that fits fewer than
     ``KEPT_SHARE`` of the rows gives way to text, or to maps where there are any.
@@ -100,6 +128,8 @@ def pickbesttyperesult(c: Column, *, enforce_error_threshold: bool = False) -> C
     if enforce_error_threshold:
         few = (best["n"] + c["nulls"]) / c["rows"] < KEPT_SHARE
         kind = F.when(few, F.when(c["VMap"] > 0, "VMap").otherwise("Varchar")).otherwise(kind)
+    if error_max is not None:
+        kind = F.when(c["Varchar"] > error_max, "Varchar").otherwise(kind)
     numeric = kind == "Numeric"
     return F.struct(
         kind.alias("type"),
@@ -113,8 +143,7 @@ def pickbesttyperesult(c: Column, *, enforce_error_threshold: bool = False) -> C
 
 def pickbesttype(df: DataFrame, value: str, *by: str, **options) -> DataFrame:
     """The best type of each group's values, as columns."""
-    made = counters(F.col(value)).alias("_c")
-    grouped = df.groupBy(*by).agg(made) if by else df.agg(made)
+    grouped = classed(df, F.col(value), *[F.col(c) for c in by])
     return grouped.withColumn("_r", pickbesttyperesult(F.col("_c"), **options)).select(*by, "_r.*")
 
 
@@ -191,8 +220,33 @@ def merge_keys(old: DataFrame, new: DataFrame) -> DataFrame:
     )
 
 
+#: How a time may be written.
+_CLOCKS = ["H:mm:ss.SSSSSS", "H:mm:ss.SSS", "H:mm:ss", "H:mm", "h:mm:ss a", "h:mm a"]
+_SPAN = r"(?i)\A(-?)([0-9]+) (day|hour|minute|second)s?(?: ([0-9]{1,2}):([0-9]{2})(?::([0-9]{2}(?:\.[0-9]{1,6})?))?)?\z"
+
+
+def has_time_type() -> bool:
+    """Whether the session reads times of day as such; otherwise they stay text."""
+    spark = SparkSession.getActiveSession()
+    return bool(spark) and spark.conf.get("spark.sql.timeType.enabled", "false") == "true"
+
+
+def interval_of(v: Column) -> Column:
+    """A text such as ``3 days 04:05:06`` as an interval of days to seconds; null for other text."""
+    part = lambda i: F.regexp_extract(v, _SPAN, i)
+    number = lambda i: F.coalesce(part(i).try_cast("decimal(18,6)"), F.lit(0))
+    unit = F.lower(part(3))
+    seconds = number(2) * F.when(unit == "day", 86400).when(unit == "hour", 3600).when(unit == "minute", 60).otherwise(1)
+    seconds = (seconds + number(4) * 3600 + number(5) * 60 + number(6)) * F.when(part(1) == "-", -1).otherwise(1)
+    return F.when(v.rlike(_SPAN), F.make_dt_interval(secs=seconds.cast("decimal(18,6)")))
+
+
 def cast_to(value: Column, guess: str) -> Column:
-    """A text as a column of the guessed type; null where it does not parse, text cut to its length."""
+    """A text as a column of the guessed type; null where it does not parse, text cut to its length.
+
+    A time with a zone stays text, for want of such a type, and so does a time where the
+    session has no type for it.
+    """
     base, size, scale = _parsed(guess)
     v = ascii_trim(value)
     if base == "int8":
@@ -207,6 +261,10 @@ def cast_to(value: Column, guess: str) -> Column:
         return v.try_cast(TimestampNTZType())
     if base == "timestamptz":
         return v.try_cast(TimestampType())
+    if base == "time" and has_time_type():
+        return F.coalesce(*[F.try_to_time(v, F.lit(p)) for p in _CLOCKS])
+    if base == "interval":
+        return interval_of(v)
     if base == "numeric" and 0 < size <= 38:
         return F.replace(v, F.lit("$"), F.lit("")).try_cast(DecimalType(size, min(scale, size)))
     if base in ("varchar", "char") and size:

@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.vmap import VMAP, maplookup, normalize_vmap, pair, value_text
-from .inference import cast_to, counters, pickbesttyperesult, type_name
+from .inference import cast_to, classed, pickbesttyperesult, type_name
 
 RAW = "__raw__"
 
 
+def quoted(name: str) -> Column:
+    """The column of exactly that name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 class LooseTable:
     """Rows with a vmap in ``__raw__`` and, possibly, real columns beside it.
 
@@ -29,7 +34,7 @@ class LooseTable:
 
     def col(self, key: str) -> Column:
         real = {c.lower(): c for c in self.df.columns}
-        return F.col(real[key.lower()]) if key.lower() in real else maplookup(F.col(RAW), key)
+        return quoted(real[key.lower()]) if key.lower() in real else maplookup(F.col(RAW), key)
 
     def select(self, *keys: str) -> DataFrame:
         return self.df.select(*[self.col(k).alias(k) for k in keys])
@@ -44,7 +49,7 @@ class LooseTable:
     def insert(self, rows: DataFrame) -> LooseTable:
         """Insert rows of named columns into the map; real columns are filled as well."""
         kinds = dict(rows.dtypes)
-        pairs = F.array(*[pair(F.lit(c), value_text(F.col(c), kinds[c])) for c in rows.columns])
+        pairs = F.array(*[pair(F.lit(c), value_text(quoted(c), kinds[c])) for c in rows.columns])
         made = rows.select(normalize_vmap(F.filter(pairs, lambda p: p["value"].isNotNull())).alias(RAW))
         filled = [self.df.schema[c] for c in self.df.columns if c != RAW and not c.startswith("__")]
         for field in filled:
@@ -58,9 +63,9 @@ class LooseTable:
         and counted before they are shuffled.
         """
         each = self.df.select(F.explode(RAW).alias("p"))
-        counted = each.groupBy(F.col("p.key").alias("key_name")).agg(counters(F.col("p.value"), F.col("p.is_map")).alias("c"))
-        guess = type_name(pickbesttyperesult(F.col("c")))
-        return counted.select("key_name", F.col("c.rows").alias("frequency"), guess.alias("data_type_guess"))
+        counted = classed(each, F.col("p.value"), F.col("p.key").alias("key_name"), is_map=F.col("p.is_map"))
+        guess = type_name(pickbesttyperesult(F.col("_c")))
+        return counted.select("key_name", F.col("_c.rows").alias("frequency"), guess.alias("data_type_guess"))
 
     def _listed(self, keys: DataFrame | None, n: int | None = None) -> list[tuple[str, str]]:
         """Keys with their types, most frequent first; a view has as many columns, so they are few."""

@@ -61,10 +61,11 @@ def mapvaluesorfield(df: DataFrame, vm: str, field: str, *keep: str) -> DataFram
 TOKENIZE = {"SPACES": SPACE_CLASS + "+", "SPECIAL_CHARACTERS": "[^A-Za-z]+"}
 
 
-def _leaves(pairs: list[Pair]) -> list[str | None]:
-    out: list[str | None] = []
-    for _, value, nested in pairs:
-        out += _leaves(unnest(value)) if nested and value is not None else [value]
+def leaf_pairs(pairs: list[Pair]) -> list[Pair]:
+    """The pairs of a map whose values are no maps, at any depth."""
+    out: list[Pair] = []
+    for key, value, nested in pairs:
+        out += leaf_pairs(unnest(value)) if nested and value is not None else [(key, value, False)]
     return out
 
 
@@ -78,7 +79,7 @@ def flextokenizer(df: DataFrame, vm: str, *keep: str, tokenize_type: str = "SPAC
 
     @F.arrow_udf("array<string>")
     def leaves(maps: pa.Array) -> pa.Array:
-        return pa.array([None if m is None else _leaves(from_rows(m)) for m in maps.to_pylist()], pa.list_(pa.string()))
+        return pa.array([None if m is None else [v for _, v, _ in leaf_pairs(from_rows(m))] for m in maps.to_pylist()], pa.list_(pa.string()))
 
     flat = F.transform(vm, lambda p: p["value"])
     values = F.when(F.exists(vm, lambda p: p["is_map"]), leaves(F.col(vm))).otherwise(flat)

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import io
 import json
+import shutil
 import struct
+import tempfile
+import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -13,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import sqlfuncs, text, vmap as V
 from ..operators import aggregate, extract as X, inference, tablefuncs as T
 from ..operators.table import RAW, LooseTable
-from ..sources import load
+from ..sources import avro, load
 
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, tuple[Query, str | None]] = {}
@@ -31,6 +35,31 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _folder(spark: SparkSession) -> str:
+    """A new folder that executors share; one of this machine in a local session that names none."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="keyloft-files-")
+        atexit.register(shutil.rmtree, named, True)
+    return f"{named.rstrip('/')}/files-{uuid.uuid4().hex}"
+
+
+def _written(spark: SparkSession, lines: DataFrame, terminator: str = "\n", then: str | None = None) -> str:
+    """Text files of the records, each followed by the terminator, and ``then`` as the last one of each file."""
+    if then is not None:
+
+        def more(batches):
+            yield from batches
+            yield pa.RecordBatch.from_arrays([pa.array([then])], ["value"])
+
+        lines = lines.toDF("value").mapInArrow(more, "value string")
+    at = _folder(spark)
+    lines.write.option("lineSep", terminator).text(at)
+    return at
+
+
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "events").withColumn(RAW, X.mapjsonextractor(F.col("props")))
 
@@ -310,20 +339,22 @@ def q_load_dc(spark, sf_dir):
     return rows.select(F.col("key").alias("k"), V.maplookup(F.col(RAW), "name").alias("name"))
 
 
-def _avro_file(rows: list[dict], names: list[str], kinds: list[str]) -> bytes:
-    """A small container with one record type and one block, as a source for the loader."""
+def _avro_long(n: int) -> bytes:
+    n, out = (n << 1) ^ (n >> 63), bytearray()
+    while n > 127:
+        out.append(n & 127 | 128)
+        n >>= 7
+    return bytes([*out, n])
 
-    def long(n: int) -> bytes:
-        n, out = (n << 1) ^ (n >> 63), bytearray()
-        while n > 127:
-            out.append(n & 127 | 128)
-            n >>= 7
-        return bytes([*out, n])
 
-    def text_(s: str) -> bytes:
-        raw = s.encode()
-        return long(len(raw)) + raw
+def _avro_text(s: str) -> bytes:
+    raw = s.encode()
+    return _avro_long(len(raw)) + raw
 
+
+def _avro_file(rows: list[dict], names: list[str], kinds: list[str]) -> bytes:
+    """A small container with one record type and one block, as a source for the loader."""
+    long, text_ = _avro_long, _avro_text
     schema = {"type": "record", "name": "Row", "fields": [{"name": n, "type": k} for n, k in zip(names, kinds, strict=True)]}
     body = io.BytesIO()
     for row in rows:
@@ -385,20 +416,51 @@ def _typed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_KINDS = ["Int8", "Numeric", "Bool", "Date", "Timestamp", "TimestampTz", "Time", "Varchar", "Numeric", "Varchar", "Float8", "Interval"]
-
-
-@_query("SELECT k.i AS kind, k.t AS type, (SELECT count(*) FROM orders) AS rowcnt, CAST(0 AS BIGINT) AS errcnt FROM (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in enumerate(_KINDS)) + ") k(i, t)")
+_CLASSED = r"""
+WITH o AS (SELECT *, strftime(o_orderdate + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS s FROM orders), v AS (
+  SELECT unnest(range(12)) AS kind, unnest([CAST(o_orderkey AS VARCHAR), format('{:.2f}', o_totalprice), CASE WHEN o_orderkey % 2 = 0 THEN 'true' ELSE 'f' END,
+    strftime(o_orderdate, '%Y-%m-%d'), s, s || '+02', '12:30:00', o_orderpriority, CASE WHEN o_orderkey % 4 = 0 THEN '1.5' ELSE CAST(o_orderkey AS VARCHAR) END,
+    NULL, '1e10', '3 days']) AS v FROM o
+), c AS (
+  SELECT kind, CASE WHEN v IS NULL THEN NULL WHEN regexp_full_match(v, '[+-]?[0-9]{1,19}') THEN 'Int8' WHEN v IN ('t', 'f', 'true', 'false', 'y', 'n', 'yes', 'no') THEN 'Bool'
+    WHEN regexp_full_match(v, '[+-]?[0-9]*\.?[0-9]*') THEN 'Numeric' WHEN NOT regexp_matches(v, '[:dDfF ]') AND try_cast(v AS DOUBLE) IS NOT NULL THEN 'Float8'
+    WHEN regexp_full_match(v, '[0-9]{4}-[0-9]{2}-[0-9]{2}') THEN 'Date' WHEN regexp_full_match(v, '[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9:]{8}') THEN 'Timestamp'
+    WHEN regexp_full_match(v, '[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9:]{8}[+][0-9]{2}') THEN 'TimestampTz' WHEN regexp_full_match(v, '[0-9]{1,2}:[0-9]{2}:[0-9]{2}') THEN 'Time'
+    WHEN regexp_full_match(v, '[0-9]+ days?') THEN 'Interval' ELSE 'Varchar' END AS t, count(*) AS n FROM v GROUP BY ALL
+), w AS (
+  SELECT kind, t, n + coalesce(CASE WHEN t = 'Numeric' THEN (SELECT sum(n) FROM c d WHERE d.kind = c.kind AND d.t = 'Int8') END, 0) AS m FROM c WHERE t IS NOT NULL
+), r AS (SELECT kind, sum(n) AS rows, sum(n) FILTER (WHERE t IS NOT NULL) AS valued FROM c GROUP BY 1)
+SELECT CAST(r.kind AS INTEGER) AS kind, coalesce(arg_max(t, m), 'Varchar') AS type, CAST(any_value(rows) AS BIGINT) AS rowcnt,
+  CAST(CASE WHEN coalesce(arg_max(t, m), 'Varchar') = 'Varchar' THEN 0 ELSE any_value(valued) - max(m) END AS BIGINT) AS errcnt
+FROM r LEFT JOIN w ON r.kind = w.kind GROUP BY 1"""
+
+
+@_query(_CLASSED)
 def q_pickbesttype(spark, sf_dir):
     return inference.pickbesttype(_typed(spark, sf_dir), "v", "kind").select("kind", "type", "rowcnt", "errcnt")
 
 
-@_query("""SELECT 'Integer' AS old, 'Varchar(20)' AS new, CAST(1000 AS BIGINT) AS f1, CAST(20 AS BIGINT) AS f2, 'Integer' AS merged
-UNION ALL SELECT 'Date', 'Boolean', 1000, 700, 'Varchar(20)' UNION ALL SELECT 'Integer', 'Numeric(10,4)', 10, 10, 'Numeric(18,4)'
-UNION ALL SELECT 'Date', 'Timestamp', 5, 5, 'Timestamp' UNION ALL SELECT NULL, 'Float', 0, 3, 'Float' UNION ALL SELECT 'Varchar(30)', 'Varchar(70000)', 1, 1, 'Long Varchar(70000)'""")
+@_query("SELECT CASE WHEN count(*) FILTER (WHERE o_orderkey % 3 = 0) > 10 THEN 'Varchar' ELSE 'Int8' END AS few, CASE WHEN 3 * count(*) FILTER (WHERE o_orderkey % 3 <> 0) < 2.4 * count(*) THEN 'Varchar' ELSE 'Int8' END AS share FROM orders")
+def q_pickbesttype_thresholds(spark, sf_dir):
+    text_ = F.when(F.col("o_orderkey") % 3 == 0, F.lit("none")).otherwise(F.col("o_orderkey").cast("string"))
+    df = _table(spark, sf_dir, "orders").select(text_.alias("v"))
+    few = inference.pickbesttype(df, "v", error_max=10).select(F.lit("few").alias("k"), "type")
+    share = inference.pickbesttype(df, "v", enforce_error_threshold=True).select(F.lit("share").alias("k"), "type")
+    both = few.unionByName(share)
+    return both.agg(*[F.max(F.when(F.col("k") == k, F.col("type"))).alias(k) for k in ("few", "share")])
+
+
+_MERGES = [("Integer", "Varchar(20)", 1000, 20, "Integer"), ("Date", "Boolean", 1000, 700, "Varchar(20)"), ("Integer", "Numeric(10,4)", 10, 10, "Numeric(18,4)"), ("Date", "Timestamp", 5, 5, "Timestamp"), (None, "Float", 0, 3, "Float"), ("Varchar(30)", "Varchar(70000)", 1, 1, "Long Varchar(70000)")]
+
+
+@_query(
+    "SELECT o_orderkey, old, new, f1 AS f1, f2, merged FROM orders JOIN (VALUES "
+    + ", ".join(f"({i}, {'NULL' if o is None else repr(o)}, {n!r}, {f}, {g}, {m!r})" for i, (o, n, f, g, m) in enumerate(_MERGES))
+    + ") m(i, old, new, f1, f2, merged) ON o_orderkey % 6 = i"
+)
 def q_pickbesttypemerge(spark, sf_dir):
-    rows = [("Integer", "Varchar(20)", 1000, 20), ("Date", "Boolean", 1000, 700), ("Integer", "Numeric(10,4)", 10, 10), ("Date", "Timestamp", 5, 5), (None, "Float", 0, 3), ("Varchar(30)", "Varchar(70000)", 1, 1)]
-    df = spark.createDataFrame(rows, "old string, new string, f1 long, f2 long")
+    pick = lambda i: F.element_at(F.array(*[F.lit(m[i]) for m in _MERGES]), (F.col("o_orderkey") % 6 + 1).cast("int"))
+    df = _table(spark, sf_dir, "orders").select("o_orderkey", *[pick(i).alias(c) for i, c in enumerate(("old", "new", "f1", "f2"))])
     return df.withColumn("merged", inference.pickbesttypemerge(*[F.col(c) for c in ("old", "f1", "new", "f2")]))
 
 
@@ -480,6 +542,183 @@ def q_text_helpers(spark, sf_dir):
     )
 
 
+@_query("SELECT CAST(count(*) FILTER (WHERE event_id % 4 > 1) AS BIGINT) AS kept, CAST(count(*) FILTER (WHERE event_id % 4 = 1) AS BIGINT) AS refused, CAST(count(*) FILTER (WHERE event_id % 4 = 0) AS BIGINT) AS halves, CAST(sum(CASE WHEN event_id % 4 > 1 THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END) AS BIGINT) AS total FROM events")
+def q_load_json_files(spark, sf_dir):
+    """Files of records: nested beyond any depth, with half a surrogate pair, with columns called as the loader's own."""
+    k = F.col("event_id") % 4
+    line = F.when(k == 1, F.repeat(F.lit("["), 3000)).when(k == 0, F.lit('{"half": "\\ud800"}')).otherwise(F.concat(F.lit('{"reason": "r", "value": "v", "vmap": "m", "in": '), "props", F.lit("}")))
+    at = _written(spark, _table(spark, sf_dir, "events").select(line))
+    columns = {"reason": "string", "value": "string", "vmap": "string", "in.k": "bigint", "half": "string"}
+    loaded = load.load_json(spark, at, columns, record_terminator="\n")
+    named = (F.col("reason") == "r") & (F.col("value") == "v") & (F.col("vmap") == "m")
+    rows = loaded.rows.select(F.when(named, 1).when(F.col("half") == "\ufffd", 2).alias("k"), F.col("`in.k`").alias("v"))
+    both = rows.unionByName(loaded.rejects.select(F.lit(0).alias("k"), F.lit(None).cast("bigint").alias("v")))
+    return both.agg(F.count_if(F.col("k") == 1).alias("kept"), F.count_if(F.col("k") == 0).alias("refused"), F.count_if(F.col("k") == 2).alias("halves"), F.sum("v").alias("total"))
+
+
+@_query("SELECT p_partkey AS key, p_name AS name, p_size AS size FROM part")
+def q_load_delimited_files(spark, sf_dir):
+    """Files with headers of their own, in different orders."""
+    part, at = _table(spark, sf_dir, "part").repartition(3, "p_partkey"), _folder(spark)
+    named = part.select(F.col("p_partkey").alias("key"), F.col("p_name").alias("name"), F.col("p_size").alias("size"))
+    for odd, order in ((0, ["key", "name", "size"]), (1, ["size", "key", "name"])):
+        named.filter(F.col("key") % 2 == odd).select(order).write.mode("append").option("header", True).option("sep", "|").csv(at)
+    return load.load_delimited(spark, at, {"key": "bigint", "name": "string", "size": "int"}).rows.select("key", "name", "size")
+
+
+@_query("SELECT p_partkey AS id, p_name || ' \"' || p_brand || '\"' || chr(10) || 'end' AS name, CAST(CASE WHEN p_partkey % 50 = 0 THEN 140000 ELSE 1 END AS INTEGER) AS n FROM part")
+def q_load_csv_files(spark, sf_dir):
+    """Quoted line breaks and quotes, and cells longer than a reader's usual limit."""
+    name = F.concat("p_name", F.lit(' "'), "p_brand", F.lit('"\nend'))
+    long = F.when(F.col("p_partkey") % 50 == 0, F.repeat(F.lit("x"), 140_000)).otherwise("x")
+    at = _folder(spark)
+    _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), name.alias("name"), long.alias("long")).write.option("header", True).option("escape", '"').csv(at)
+    rows = load.load_csv(spark, at, {"id": "bigint", "name": "string", "long": "string"}).rows
+    return rows.select("id", "name", F.length("long").alias("n"))
+
+
+@_query("SELECT p_partkey AS id, p_name || chr(10) || ';' || p_brand || '|' AS name FROM part WHERE p_partkey % 5 <> 0")
+def q_load_csv_terminator(spark, sf_dir):
+    """Records that end in a bar, with line breaks, escaped and quoted borders in cells; too many cells are refused."""
+    many = F.when(F.col("p_partkey") % 5 == 0, F.lit(";more")).otherwise("")
+    line = F.concat("p_partkey", F.lit(";"), "p_name", F.lit('\n\\;'), "p_brand", F.lit("\\|"), many)
+    at = _written(spark, _table(spark, sf_dir, "part").select(line), "|")
+    return load.load_csv(spark, at, {"id": "bigint", "name": "string"}, type="traditional", delimiter=";", record_terminator="|", header=False, plain=True).rows.select("id", "name")
+
+
+@_query("SELECT c_custkey AS id, c_name AS name FROM customer")
+def q_load_idx_files(spark, sf_dir):
+    """Nothing after the end of the data counts."""
+    doc = F.concat(F.lit("#DREREFERENCE "), "c_custkey", F.lit("\n#DRETITLE\n"), "c_name", F.lit("\n"))
+    at = _written(spark, _table(spark, sf_dir, "customer").repartition(3, "c_custkey").select(doc), "#DREENDDOC\n", "#DREENDDATANOREFERENCE\n\n#DREREFERENCE 1\n#DREENDDOC\n#DREREFERENCE 2\n")
+    return load.load_idx(spark, at, {"drereference": "bigint", "dretitle": "string"}).rows.select(F.col("drereference").alias("id"), F.col("dretitle").alias("name"))
+
+
+@_query("SELECT n_nationkey AS k, n_name AS name FROM nation")
+def q_load_dc_files(spark, sf_dir):
+    line = F.concat(F.lit("key:"), "n_nationkey", F.lit("\nname:"), "n_name")
+    at = _written(spark, _table(spark, sf_dir, "nation").repartition(2, "n_nationkey").select(line), "\n.\n")
+    return load.load_dc(spark, at, {"key": "int", "name": "string"}).rows.select(F.col("key").alias("k"), "name")
+
+
+@_query("SELECT s_suppkey AS id, s_name AS name FROM supplier")
+def q_load_pairs_files(spark, sf_dir):
+    line = F.concat(F.lit("id="), "s_suppkey", F.lit(", name = "), "s_name")
+    at = _written(spark, _table(spark, sf_dir, "supplier").repartition(2, "s_suppkey").select(line))
+    return load.load_pairs(spark, at, {"id": "bigint", "name": "string"}).rows.select("id", "name")
+
+
+@_query("SELECT CAST(count(*) FILTER (WHERE s_suppkey % 2 = 0 AND length(s_name) <= 18) AS BIGINT) AS kept, CAST(count(*) FILTER (WHERE s_suppkey % 2 = 1) AS BIGINT) AS wrong_type, CAST(count(*) FILTER (WHERE s_suppkey % 2 = 0 AND length(s_name) > 18) AS BIGINT) AS too_long FROM supplier")
+def q_load_avro_options(spark, sf_dir):
+    """Fields by place; wrong types and long texts refuse their records."""
+    code = F.when(F.col("s_suppkey") % 2 == 0, F.col("s_suppkey").cast("string")).otherwise("none")
+    df = _table(spark, sf_dir, "supplier").select(code.alias("a"), F.col("s_name").alias("b"))
+
+    def files(batches):
+        for batch in batches:
+            made = [_avro_file(batch.to_pylist(), ["a", "b"], ["string", "string"])] if len(batch) else []
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], ["content"])
+
+    loaded = load.load_avro(
+        spark, df.mapInArrow(files, "content binary"), {"id": "bigint", "name": "varchar(18)"}, plain=True, reject_on_materialized_type_error=True, enforce_length=True
+    )
+    both = loaded.rows.select(F.lit("ok").alias("k")).unionByName(loaded.rejects.select(F.col("reason").alias("k")))
+    return both.agg(F.count_if(F.col("k") == "ok").alias("kept"), F.count_if(F.col("k") == "wrong type: id").alias("wrong_type"), F.count_if(F.col("k") == "too long: name").alias("too_long"))
+
+
+_MESSAGE = {"type": "record", "name": "Part", "fields": [{"name": "key", "type": "long"}, {"name": "name", "type": ["null", "string"]}, {"name": "price", "type": "double"}, {"name": "big", "type": "boolean"}, {"name": "tags", "type": {"type": "array", "items": "string"}}]}
+
+
+@_query("SELECT p_partkey AS key, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_name END AS name, p_retailprice AS price, CASE WHEN p_size > 25 THEN 'true' ELSE 'false' END AS big, p_brand AS tag FROM part")
+def q_avro_messages(spark, sf_dir):
+    """Messages without a container, datum by datum."""
+
+    def messages(batches):
+        for batch in batches:
+            made = []
+            for r in batch.to_pylist():
+                name = b"\0" if r["p_partkey"] % 3 == 0 else b"\x02" + _avro_text(r["p_name"])
+                tags = b"\x04" + _avro_text("x") + _avro_text(r["p_brand"]) + b"\0"
+                made.append(_avro_long(r["p_partkey"]) + name + struct.pack("<d", r["p_retailprice"]) + (b"\1" if r["p_size"] > 25 else b"\0") + tags)
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], ["m"])
+
+    part = _table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_retailprice", "p_size", "p_brand")
+    vm = avro.avro_vmap(F.col("m"), json.dumps(_MESSAGE), flatten_arrays=True)
+    made = part.mapInArrow(messages, "m binary").select(vm.alias(RAW))
+    tag = V.maplookup(F.col(RAW), "1.tags")
+    return made.select(
+        V.maplookup(F.col(RAW), "key").try_cast("bigint").alias("key"), V.maplookup(F.col(RAW), "name").alias("name"),
+        V.maplookup(F.col(RAW), "price").try_cast("double").alias("price"), V.maplookup(F.col(RAW), "big").alias("big"), tag.alias("tag"),
+    )
+
+
+@_query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderkey AS BIGINT) END AS whole, left(o_orderpriority, 4) AS cut, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderkey * 86400 AS BIGINT) END AS seconds FROM orders")
+def q_cast_with_truncation(spark, sf_dir):
+    o = _table(spark, sf_dir, "orders")
+    text_ = F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderkey").cast("string")).otherwise("none")
+    span = inference.cast_to(F.concat(text_, F.lit(" days")), "Interval Day to Second")
+    return o.select("o_orderkey", inference.cast_to(text_, "Integer").alias("whole"), inference.cast_to(F.col("o_orderpriority"), "Varchar(4)").alias("cut"), span.cast("interval second").cast("bigint").alias("seconds"))
+
+
+@_query("SELECT o_orderkey, k, k IN (1, 2, 4, 5) AS zoned FROM orders CROSS JOIN (SELECT unnest(range(7)) AS k)")
+def q_timezone_suffix(spark, sf_dir):
+    stamp = F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")
+    ends = ["", "+02", " EST", " PM", "-05", "Z", ".5"]
+    df = _table(spark, sf_dir, "orders").select("o_orderkey", F.posexplode(F.array(*[F.concat(stamp, F.lit(e)) for e in ends])).alias("k", "v"))
+    return df.select("o_orderkey", F.col("k").cast("long").alias("k"), text.may_have_timezone(F.col("v")).alias("zoned"))
+
+
+@_query("SELECT event_id, CASE WHEN event_id % 5 > 1 THEN json_extract_string(props, '$.k') END AS k FROM events")
+def q_extractor_actions(spark, sf_dir):
+    """What is malformed or too much gives null under the actions that only log."""
+    bad = F.when(F.col("event_id") % 5 == 0, F.concat("props", F.lit("}"))).when(F.col("event_id") % 5 == 1, F.concat("props", "props")).otherwise(F.col("props"))
+    vm = X.mapjsonextractor(bad, reject_action="logdebug", error_action="LogAlways")
+    return _table(spark, sf_dir, "events").select("event_id", V.maplookup(vm, "k").alias("k"))
+
+
+@_query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, event_type AS kind FROM events")
+def q_materialized_dotted(spark, sf_dir):
+    """Keys with dots, as nesting gives them, are read as real columns too."""
+    line = F.concat(F.lit('{"in": '), "props", F.lit(', "type.name": "'), "event_type", F.lit('"}'))
+    df = _table(spark, sf_dir, "events").select("event_id", X.mapjsonextractor(line).alias(RAW))
+    table = LooseTable(df, "dotted").materialize(2)[0]
+    return table.select("event_id", "in.k", "TYPE.name").toDF("event_id", "k", "kind")
+
+
+@_query(f"""SELECT i.s_suppkey, keys, values, CAST(octet_length(encode(values)) AS BIGINT) AS length,
+CAST(row_number() OVER (PARTITION BY i.s_suppkey ORDER BY lower(keys)) - 1 AS BIGINT) AS field_num FROM ({_ITEMS}) i""")
+def q_sql_table_functions(spark, sf_dir):
+    sqlfuncs.register(spark)
+    _supplier_map(spark, sf_dir).createOrReplaceTempView("_loose_rows")
+    return spark.sql(f"""SELECT s.s_suppkey, i.keys, i.values, n.length, n.field_num FROM _loose_rows s, LATERAL mapitems({RAW}) i, LATERAL mapkeysinfo({RAW}) n
+        WHERE i.keys = n.keys AND i.keys IN (SELECT k.keys FROM _loose_rows, LATERAL mapkeys({RAW}) k) AND n.type_oid = 'long varbinary'""")
+
+
+@_query("SELECT p_partkey, p_name AS name, CAST(NULL AS VARCHAR) AS lower_brand, p_brand AS brand, '9' AS put, CAST(4 AS BIGINT) AS n, CAST(p_size AS VARCHAR) AS size FROM part")
+def q_sql_extractors(spark, sf_dir):
+    sqlfuncs.register(spark)
+    line = F.concat_ws("|", "p_name", "p_brand", F.lit(""))
+    _table(spark, sf_dir, "part").select("*", line.alias("line"), F.concat(F.lit('{"s": {"size": '), "p_size", F.lit("}}")).alias("j")).createOrReplaceTempView("_loose_parts")
+    return spark.sql("""SELECT p_partkey, maplookup(m, 'NAME') AS name, maplookup(m, 'brand', case_sensitive => true) AS lower_brand,
+        maplookup(mapregexextractor(line, '[|](?<brand>[^|]*)'), 'BRAND') AS brand, maplookup(m, 'put') AS put, mapsize(m) AS n, maplookup(mapjsonextractor(j), 's.size') AS size
+        FROM (SELECT *, mapput(mapdelimitedextractor(line, header_names => 'name|Brand'), setmapkeys(array('put')), array('9')) AS m FROM _loose_parts)""")
+
+
+@_query("SELECT c_nationkey, count(*) AS n, min(c_name) AS first, max(c_mktsegment) AS top FROM customer GROUP BY 1")
+def q_sql_mapaggregate(spark, sf_dir):
+    sqlfuncs.register(spark)
+    _table(spark, sf_dir, "customer").createOrReplaceTempView("_loose_customers")
+    return spark.sql("""WITH m AS (SELECT c_nationkey, mapaggregate(collect_list(struct(c_name AS key, c_mktsegment AS value))) AS m FROM _loose_customers GROUP BY 1)
+        SELECT c_nationkey, count(*) AS n, min(i.keys) AS first, max(i.values) AS top FROM m, LATERAL mapitems(m) i GROUP BY 1""")
+
+
+@_query("SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(string_split_regex(text, '[ \t\n\v\f\r]+')) AS token FROM documents) WHERE token <> '' GROUP BY doc_id")
+def q_sql_flextokenizer(spark, sf_dir):
+    sqlfuncs.register(spark)
+    _table(spark, sf_dir, "documents").select("doc_id", V.vmap_of(text=F.col("text")).alias(RAW)).createOrReplaceTempView("_loose_docs")
+    return spark.sql(f"SELECT doc_id, count(*) AS n FROM _loose_docs, LATERAL flextokenizer({RAW}) t WHERE token IS NOT NULL GROUP BY doc_id")
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, (f, _) in _REGISTRY.items()}
 

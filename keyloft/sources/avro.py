@@ -196,8 +196,20 @@ def _snappy(block: bytes) -> bytes:
     return data
 
 
-def container_rows(data: bytes, o: AvroOptions) -> Iterator[list[Pair]]:
-    """The rows of a container file; codecs null and snappy."""
+def _placed(datum, names: list[str], o: AvroOptions) -> list[Pair]:
+    """A record's fields under other names, by place; those beyond the names are left out."""
+    if datum[0] != "record":
+        raise ValueError("fields are filled by place from records only")
+    out: list[Pair] = []
+    for name, (_, inner) in zip(names, datum[2]):
+        made: list[Pair] = []
+        _put(inner, [], name, o, made)
+        out.append((name, made[0][1] if len(made) == 1 else nest(made), len(made) != 1 or made[0][2]))
+    return sorted_pairs(out)
+
+
+def container_rows(data: bytes, o: AvroOptions, names: list[str] | None = None) -> Iterator[list[Pair]]:
+    """The rows of a container file, or its records' fields under ``names``; codecs null and snappy."""
     r = Reader(data)
     if r.take(4) != b"Obj\x01":
         raise ValueError("not an Avro container")
@@ -213,7 +225,8 @@ def container_rows(data: bytes, o: AvroOptions) -> Iterator[list[Pair]]:
         block = r.blob()
         inner = Reader(_snappy(block) if codec == "snappy" else block)
         for _ in range(n):
-            yield row_of(decode(schema, inner, known), o, number)
+            datum = decode(schema, inner, known)
+            yield row_of(datum, o, number) if names is None else _placed(datum, names, o)
             number += 1
         if r.take(16) != sync:
             raise ValueError("a sync marker is wrong")

@@ -4,6 +4,9 @@ Each loader takes a path, or a DataFrame whose column ``value`` holds the record
 (whole files where the format has no record border), so the same parsing serves
 batch and streaming input.  It returns a :class:`Loaded`.  A last record without
 its terminator counts.
+
+While a record is parsed its columns have names of their own (``_VMAP`` and so on),
+so real columns may be called anything.
 """
 
 from __future__ import annotations
@@ -11,6 +14,7 @@ from __future__ import annotations
 import csv
 import io
 import re
+import sys
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -22,8 +26,9 @@ from ..functions.vmap import ARROW_VMAP, VMAP, Pair, normalize_vmap, sorted_pair
 from ..operators import extract as X
 from ..operators.table import RAW
 
-_PARSED = f"vmap {VMAP}, reason string, value string"
-_ARROW = pa.schema([("vmap", ARROW_VMAP), ("reason", pa.string()), ("value", pa.string())])
+_VMAP, _REASON, _RECORD, _FILE, _AT = "__kl_vmap", "__kl_reason", "__kl_record", "__kl_file", "__kl_at"
+_PARSED = f"{_VMAP} {VMAP}, {_REASON} string, {_RECORD} string"
+_ARROW = pa.schema([(_VMAP, ARROW_VMAP), (_REASON, pa.string()), (_RECORD, pa.string())])
 
 
 @dataclass
@@ -34,13 +39,30 @@ class Loaded:
     rejects: DataFrame
 
 
-def records(spark: SparkSession, source: str | DataFrame, terminator: str | None) -> DataFrame:
-    """Records of files; whole files without a terminator."""
+def records(spark: SparkSession, source: str | DataFrame, terminator: str | None, *, placed: bool = False) -> DataFrame:
+    """Records of files; whole files without a terminator.
+
+    With ``placed`` each has its file, and its place in the file, by which it can be
+    compared with others of the same file.
+    """
     if isinstance(source, DataFrame):
-        return source.select("value")
-    if terminator is None:
-        return spark.read.text(source, wholetext=True)
-    return spark.read.text(source, lineSep=terminator)
+        df = source.select(F.col("value").alias(_RECORD))
+        return df.withColumns({_FILE: F.lit(None).cast("string"), _AT: F.lit(None).cast("struct<block:bigint,row:bigint>")}) if placed else df
+    text = spark.read.text(source, wholetext=True) if terminator is None else spark.read.text(source, lineSep=terminator)
+    if not placed:
+        return text.select(F.col("value").alias(_RECORD))
+    at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return text.select(F.col("value").alias(_RECORD), F.col("_metadata.file_path").alias(_FILE), at.alias(_AT))
+
+
+#: Loads of at most so many files have one row for each file sent along to the records.
+FEW_FILES = 10_000
+
+
+def _by_file(df: DataFrame, facts: DataFrame, how: str = "inner") -> DataFrame:
+    """Records with what is known about their files (``__kl_f`` and more, a row for each file)."""
+    few = len(df.inputFiles()) <= FEW_FILES
+    return df.join(F.broadcast(facts) if few else facts, F.col(_FILE) == F.col("__kl_f"), how)
 
 
 def _last(vm: Column, key: str) -> Column:
@@ -48,60 +70,78 @@ def _last(vm: Column, key: str) -> Column:
     return F.try_element_at(F.filter(vm, lambda p: ascii_lower(p["key"]) == ascii_lower(F.lit(key))), F.lit(-1))["value"]
 
 
+def typed(text: Column, kind: str, *, reject_type_errors: bool = False, enforce_length: bool = False) -> tuple[Column, Column]:
+    """A text as a value of a real column, and why the record is refused, or null."""
+    text = F.when(text != "", text)
+    sized = re.fullmatch(r"(?i)\s*(?:var)?char\s*\((\d+)\)\s*", kind)
+    if sized:
+        size = int(sized.group(1))
+        bad = F.octet_length(text) > size if enforce_length else F.lit(False)
+        return F.when(F.octet_length(text) <= size, text).otherwise(F.left(text, F.lit(size))), F.when(F.coalesce(bad, F.lit(False)), "too long")
+    value = text.try_cast(kind)
+    bad = value.isNull() & text.isNotNull() if reject_type_errors else F.lit(False)
+    return value, F.when(bad, "wrong type")
+
+
 def finish(
-    parsed: DataFrame, columns: dict[str, str] | None = None, *, reject_type_errors: bool = False, enforce_length: bool = False
+    parsed: DataFrame,
+    columns: dict[str, str] | None = None,
+    *,
+    reject_type_errors: bool = False,
+    enforce_length: bool = False,
+    given: dict[str, Column] | None = None,
 ) -> Loaded:
-    """Fill real columns from (vmap, reason, value) and part rows from rejects.
+    """Fill real columns from parsed records and part rows from rejects.
 
     ``columns`` maps names to types.  A value that does not parse gives null, or
     with ``reject_type_errors`` refuses the record; a text beyond its ``varchar(n)``
     is cut, or with ``enforce_length`` refuses the record.  Empty values are null.
+    ``given`` are real columns that do not come from the map.
     """
-    out = parsed
-    for name, kind in (columns or {}).items():
-        text = _last(F.col("vmap"), name)
-        text = F.when(text != "", text)
-        sized = re.fullmatch(r"(?i)\s*(?:var)?char\s*\((\d+)\)\s*", kind)
-        if sized:
-            size = int(sized.group(1))
-            bad = F.octet_length(text) > size if enforce_length else F.lit(False)
-            value, why = F.when(F.octet_length(text) <= size, text).otherwise(F.left(text, F.lit(size))), "too long"
-        else:
-            value = text.try_cast(kind)
-            bad = value.isNull() & text.isNotNull() if reject_type_errors else F.lit(False)
-            why = "wrong type"
-        told = F.when(F.coalesce(bad, F.lit(False)), F.lit(f"{why}: {name}"))
-        out = out.withColumn(name, value).withColumn("reason", F.coalesce("reason", told))
-    kept = out.filter(F.col("reason").isNull() & F.col("vmap").isNotNull())
-    rejects = out.filter(F.col("reason").isNotNull()).select("reason", F.col("value").alias("record"))
-    return Loaded(kept.select(F.col("vmap").alias(RAW), *[F.col(f"`{c}`") for c in columns or {}]), rejects)
-
-
-def _from_column(df: DataFrame, vmap: Column, reason: Column | None = None) -> DataFrame:
+    told, made = F.col(_REASON), []
+    for i, (name, kind) in enumerate((columns or {}).items()):
+        if given and name in given:
+            made.append(given[name].alias(f"__kl_{i}"))
+            continue
+        value, why = typed(_last(F.col(_VMAP), name), kind, reject_type_errors=reject_type_errors, enforce_length=enforce_length)
+        made.append(value.alias(f"__kl_{i}"))
+        told = F.coalesce(told, F.concat(why, F.lit(f": {name}")))
+    out = parsed.select(F.col(_VMAP), told.alias(_REASON), F.col(_RECORD), *made)
+    kept = out.filter(F.col(_REASON).isNull() & F.col(_VMAP).isNotNull())
+    rejects = out.filter(F.col(_REASON).isNotNull()).select(F.col(_REASON).alias("reason"), F.col(_RECORD).alias("record"))
+    return Loaded(kept.select(F.col(_VMAP).alias(RAW), *[F.col(f"__kl_{i}").alias(c) for i, c in enumerate(columns or {})]), rejects)
+
+
+def _parsed(df: DataFrame, vmap: Column, reason: Column | None = None) -> DataFrame:
     why = F.lit(None).cast("string") if reason is None else reason
-    return df.select(vmap.alias("vmap"), why.alias("reason"), "value")
+    return df.select(vmap.alias(_VMAP), why.alias(_REASON), _RECORD)
 
 
 def _checked(df: DataFrame, parse: Callable[[str], list[Pair]]) -> DataFrame:
-    return df.withColumn("_r", X.checked(parse)(F.col("value"))).select("_r.vmap", "_r.reason", "value")
+    made = df.withColumn("__kl_r", X.checked(parse)(F.col(_RECORD)))
+    return made.select(F.col("__kl_r.vmap").alias(_VMAP), F.col("__kl_r.reason").alias(_REASON), _RECORD)
+
+
+def _handed(rows: Iterator[tuple[list[Pair] | None, str | None, str | None]]) -> Iterator[pa.RecordBatch]:
+    """Parsed records, a batch at a time."""
+    held = []
+    for pairs, reason, record in rows:
+        vmap = None if pairs is None else [{"key": k, "value": v, "is_map": m} for k, v, m in pairs]
+        held.append({_VMAP: vmap, _REASON: reason, _RECORD: record})
+        if len(held) >= 2000:
+            yield pa.RecordBatch.from_pylist(held, schema=_ARROW)
+            held = []
+    yield pa.RecordBatch.from_pylist(held, schema=_ARROW)
 
 
 def _many(df: DataFrame, parse: Callable[[str], Iterator[tuple[list[Pair] | None, str | None, str | None]]]) -> DataFrame:
-    """Parse each ``value`` into any number of rows, handed over a batch at a time."""
+    """Parse each record text into any number of rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = []
-        for batch in batches:
-            for text in batch.column("value").to_pylist():
-                for pairs, reason, record in parse(text) if text is not None else ():
-                    vmap = None if pairs is None else [{"key": k, "value": v, "is_map": m} for k, v, m in pairs]
-                    held.append({"vmap": vmap, "reason": reason, "value": record})
-                    if len(held) >= 2000:
-                        yield pa.RecordBatch.from_pylist(held, schema=_ARROW)
-                        held = []
-        yield pa.RecordBatch.from_pylist(held, schema=_ARROW)
+        texts = (text for batch in batches for text in batch.column(0).to_pylist() if text is not None)
+        return _handed(row for text in texts for row in parse(text))
 
-    return df.select("value").mapInArrow(run, _PARSED)
+    return df.select(_RECORD).mapInArrow(run, _PARSED)
 
 
 def load_json(
@@ -114,7 +154,11 @@ def load_json(
     enforce_length: bool = False,
     **options,
 ) -> Loaded:
-    """JSON objects.  Malformed text fails the load, or with a terminator only its record."""
+    """JSON objects.  Malformed text fails the load, or with a terminator only its record.
+
+    So does text that is nested too deeply.  Without a terminator a file is one record,
+    read by one task.  Halves of surrogate pairs become U+FFFD.
+    """
     o = X.JsonOptions(**options)
 
     def parse(text: str):
@@ -124,7 +168,7 @@ def load_json(
                     yield X.json_row(members, o), None, None
                 except X.Rejected as e:
                     yield None, str(e), text if record_terminator else None
-        except ValueError as e:
+        except (ValueError, RecursionError) as e:
             if record_terminator is None:
                 raise
             if text.strip(SPACE):
@@ -134,11 +178,6 @@ def load_json(
     return finish(parsed, columns, reject_type_errors=reject_on_materialized_type_error, enforce_length=enforce_length)
 
 
-def _header(df: DataFrame) -> str | None:
-    row = df.filter(F.col("value") != "").first()
-    return row["value"] if row else None
-
-
 def load_delimited(
     spark: SparkSession,
     source: str | DataFrame,
@@ -158,32 +197,78 @@ def load_delimited(
 ) -> Loaded:
     """Delimited text without quotes or escapes, by built-in expressions.
 
-    With ``header`` true the first record names the cells, and every record that
-    equals it is taken for the header of another file.  A header with an empty or
-    repeated name, where that is refused, ends the load without rows.  Without a
-    header real columns stay null.
+    With ``header`` true the first record of each file names that file's cells; of a
+    DataFrame, whose rows have no order, the first row does, and equal ones are
+    dropped.  A header with an empty or repeated name, where that is refused, ends its
+    file without rows.  Without a header real columns stay null.
     """
     if len(delimiter) != 1 or len(record_terminator) != 1:
         raise ValueError("delimiter and terminator are one character each")
-    df = records(spark, source, record_terminator)
-    names = list(header) if isinstance(header, list) else None
-    if header is True:
-        line = _header(df)
-        df = df.filter(F.col("value") != line) if line is not None else df
-        names = (line or "").split(delimiter)
-    if names is not None and trim:
-        names = [n.strip(SPACE) for n in names]
-    folded = [X._fold(n) for n in names or []]
-    bad = (reject_on_empty_key and "" in folded) or (reject_on_duplicate and len(set(folded)) < len(folded))
-    cells = X._cells(F.col("value"), delimiter, trim)
-    head = F.array(*[F.lit(n) for n in names]) if names else None
-    made = X.delimited_pairs(cells, head, empty_null=treat_empty_val_as_null, omit_empty=omit_empty_keys)
-    reason = F.lit("bad header") if bad else None
-    parsed = _from_column(df.filter((F.col("value") != "") & F.lit(not bad)), normalize_vmap(made), reason)
-    loaded = finish(parsed, columns, reject_type_errors=reject_on_materialized_type_error, enforce_length=enforce_length)
+    df = records(spark, source, record_terminator, placed=header is True).filter(F.col(_RECORD) != "")
+
+    def named(names: Column) -> Column:
+        return F.transform(names, X.ascii_trim) if trim else names
+
+    if header is True and isinstance(source, DataFrame):
+        row = df.first()
+        df = df.filter(F.col(_RECORD) != row[_RECORD]) if row else df
+        head = named(F.split(F.lit(row[_RECORD] if row else ""), re.escape(delimiter), -1))
+    elif header is True:
+        tops = df.groupBy(F.col(_FILE).alias("__kl_f")).agg(F.min(F.struct(F.col(_AT), F.col(_RECORD))).alias("__kl_top"))
+        df = _by_file(df, tops).filter(F.col(_AT) > F.col("__kl_top")[_AT])
+        head = named(F.split(F.col("__kl_top")[_RECORD], re.escape(delimiter), -1))
+    else:
+        head = named(F.array(*[F.lit(n) for n in header])) if isinstance(header, list) and header else None
+    bad = F.lit(False)
+    if head is not None:
+        folded = F.transform(head, ascii_lower)
+        if reject_on_empty_key:
+            bad = bad | F.array_contains(folded, F.lit(""))
+        if reject_on_duplicate:
+            bad = bad | (F.size(F.array_distinct(folded)) < F.size(folded))
+    made = X.delimited_pairs(X._cells(F.col(_RECORD), delimiter, trim), head, empty_null=treat_empty_val_as_null, omit_empty=omit_empty_keys)
+    parsed = _parsed(df.filter(~bad), normalize_vmap(made))
+    given = None
     if header is False and columns:
-        loaded.rows = loaded.rows.select(RAW, *[F.lit(None).cast("string").try_cast(t if "char" not in t.lower() else "string").alias(c) for c, t in columns.items()])
-    return loaded
+        given = {c: F.lit(None).cast("string").try_cast("string" if "char" in t.lower() else t) for c, t in columns.items()}
+    return finish(parsed, columns, reject_type_errors=reject_on_materialized_type_error, enforce_length=enforce_length, given=given)
+
+
+def escaped_cells(text: str, delimiter: str, terminator: str, quote: str, escape: str) -> Iterator[list[str]]:
+    """The records of a text whose cells are quoted and escaped by one character each.
+
+    A quote opens a quoted cell at its beginning only; in it delimiter and terminator
+    are text.  The character after an escape is text anywhere.
+    """
+    four = re.escape(delimiter + terminator + quote + escape)
+    token = re.compile(f"[^{four}]+|{re.escape(escape)}.?|.", re.S)
+    cells: list[str] = []
+    cell: list[str] = []
+    quoted = touched = False
+    for m in token.finditer(text):
+        t = m.group()
+        if t[0] == escape:
+            cell.append(t[1:])
+            touched = True
+        elif quoted:
+            if t == quote:
+                quoted = False
+            else:
+                cell.append(t)
+        elif t == quote and not touched:
+            quoted = touched = True
+        elif t == delimiter:
+            cells.append("".join(cell))
+            cell, touched = [], False
+        elif t == terminator:
+            if cells or touched:
+                yield [*cells, "".join(cell)]
+            cells, cell, touched = [], [], False
+        else:
+            cell.append(t)
+            touched = True
+    if cells or touched:
+        yield [*cells, "".join(cell)]
 
 
 def load_csv(
@@ -202,14 +287,17 @@ def load_csv(
     reject_on_duplicate: bool = False,
     reject_on_empty_key: bool = False,
     reject_on_materialized_type_error: bool = False,
+    enforce_length: bool = False,
     null: str | None = None,
+    plain: bool = False,
     format: str = "",
 ) -> Loaded:
     """CSV: quotes doubled (``rfc4180``) or characters escaped (``traditional``).
 
     The four characters count for ``traditional`` only.  Quoted line breaks are
     allowed, so a file is one task; many files load side by side.  ``null`` turns
-    equal cells into empty ones.
+    equal cells into empty ones.  With ``plain`` the table has ``columns`` only: cells
+    fill them by place, and a record with more or fewer cells is refused.
     """
     if type not in ("rfc4180", "traditional"):
         raise ValueError("type is rfc4180 or traditional")
@@ -219,14 +307,25 @@ def load_csv(
         four = [delimiter, record_terminator, enclosed_by, escape]
         if len(set(four)) < 4 or not all(len(c) == 1 and c.isascii() for c in four):
             raise ValueError("delimiter, terminator, quote and escape are four different ASCII characters")
-    dialect = {"delimiter": delimiter, "quotechar": enclosed_by, "strict": False}
-    dialect |= {"doublequote": True} if type == "rfc4180" else {"doublequote": False, "escapechar": escape}
+
+    def split(text: str) -> Iterator[list[str]]:
+        if type == "traditional":
+            yield from escaped_cells(text, delimiter, record_terminator, enclosed_by, escape)
+            return
+        csv.field_size_limit(sys.maxsize)
+        yield from csv.reader(io.StringIO(text, newline=""), strict=False)
 
     def parse(text: str):
-        if record_terminator != "\n":
-            text = text.replace(record_terminator, "\n")
         names = list(header) if isinstance(header, list) else None
-        for cells in csv.reader(io.StringIO(text, newline=""), **dialect):
+        rows = split(text)
+        while True:
+            try:
+                cells = next(rows, None)
+            except csv.Error as e:  # such as a NUL byte: what follows cannot be told apart
+                yield None, f"malformed: {e}", None
+                return
+            if cells is None:
+                return
             if not cells:
                 continue
             cells = [c.strip(SPACE) for c in cells] if trim else cells
@@ -237,23 +336,26 @@ def load_csv(
                     yield None, "bad header", delimiter.join(cells)
                     return
                 continue
+            if plain and len(cells) != len(columns or {}):
+                yield None, f"{len(cells)} cells for {len(columns or {})} columns", delimiter.join(cells)
+                continue
             pairs = []
             for i, cell in enumerate(cells):
-                name = names[i] if names and i < len(names) else f"ucol{i}"
+                name = list(columns)[i] if plain else names[i] if names and i < len(names) else f"ucol{i}"
                 if not (omit_empty_keys and name == ""):
                     pairs.append((name, "" if cell == null else cell, False))
             yield sorted_pairs(pairs), None, delimiter.join(cells)
 
     parsed = _many(records(spark, source, None), parse)
-    return finish(parsed, columns, reject_type_errors=reject_on_materialized_type_error)
+    return finish(parsed, columns, reject_type_errors=reject_on_materialized_type_error, enforce_length=enforce_length)
 
 
 def load_pairs(
     spark: SparkSession, source: str | DataFrame, columns: dict[str, str] | None = None, *, delimiter: str = ",", record_terminator: str = "\n", trim: bool = True, format: str = ""
 ) -> Loaded:
     """Records of ``key=value`` cells."""
-    df = records(spark, source, record_terminator).filter("value <> ''")
-    return finish(_from_column(df, X.pairs_vmap(F.col("value"), delimiter=delimiter, trim=trim)), columns)
+    df = records(spark, source, record_terminator).filter(F.col(_RECORD) != "")
+    return finish(_parsed(df, X.pairs_vmap(F.col(_RECORD), delimiter=delimiter, trim=trim)), columns)
 
 
 def load_cef(
@@ -268,7 +370,7 @@ def load_cef(
     format: str = "",
 ) -> Loaded:
     """Common event format."""
-    df = records(spark, source, record_terminator).filter("value <> ''")
+    df = records(spark, source, record_terminator).filter(F.col(_RECORD) != "")
     parse = lambda t: X.cef_pairs(t, delimiter=delimiter, trim=trim, reject_on_unescaped_delimiter=reject_on_unescaped_delimiter)
     return finish(_checked(df, parse), columns)
 
@@ -282,53 +384,66 @@ def load_regex(
     record_terminator: str = "\n",
     loglinecolumn: str = "",
     use_jit: bool = True,
+    plain: bool = False,
 ) -> Loaded:
-    """The named groups of a pattern; lines without a match are dropped, not refused."""
+    """The named groups of a pattern; lines without a match are dropped, not refused.
+
+    With ``plain`` the table has ``columns`` only, and every group must be one of them.
+    """
     if loglinecolumn and loglinecolumn not in (columns or {}):
         raise ValueError(f"no column {loglinecolumn}")
-    df = records(spark, source, record_terminator)
-    made = X.mapregexextractor(F.col("value"), pattern=pattern)
-    parsed = _from_column(df, made).filter("vmap IS NOT NULL")
-    loaded = finish(parsed if not loglinecolumn else parsed.withColumn("_line", F.col("value")), columns)
-    if loglinecolumn:
-        whole = finish(parsed, {k: v for k, v in columns.items() if k != loglinecolumn})
-        rows = parsed.select(F.col("vmap").alias(RAW), F.col("value").alias(loglinecolumn), *[
-            F.when(_last(F.col("vmap"), c) != "", _last(F.col("vmap"), c)).try_cast(t).alias(c) for c, t in columns.items() if c != loglinecolumn
-        ])
-        return Loaded(rows.select(RAW, *columns), whole.rejects)
-    return loaded
+    if plain:
+        known = {c.lower() for c in columns or {}}
+        lost = [n for n in X.java_pattern(pattern)[1] if n.lower() not in known]
+        if lost:
+            raise ValueError(f"groups that are no columns: {lost}")
+    parsed = _parsed(records(spark, source, record_terminator), X.mapregexextractor(F.col(_RECORD), pattern=pattern))
+    parsed = parsed.filter(F.col(_VMAP).isNotNull())
+    return finish(parsed, columns, given={loglinecolumn: F.col(_RECORD)} if loglinecolumn else None)
 
 
 def load_idx(spark: SparkSession, source: str | DataFrame, columns: dict[str, str] | None = None, *, store_content: bool = True) -> Loaded:
-    """IDX documents, each ended by ``#DREENDDOC``; what follows ``#DREENDDATA`` in one is dropped."""
-    df = records(spark, source, "#DREENDDOC")
-    text = F.regexp_replace("value", r"(?s)#DREENDDATA.*\z", "")
-    df = df.withColumn("value", text).filter(F.col("value").contains("#DRE"))
+    """IDX documents, each ended by ``#DREENDDOC``.
+
+    What follows ``#DREENDDATA`` in a file, or in a row of a DataFrame, is dropped.
+    """
+    df = records(spark, source, "#DREENDDOC", placed=True)
+    ended = F.col(_RECORD).contains("#DREENDDATA")
+    if not isinstance(source, DataFrame):
+        ends = df.filter(ended).groupBy(F.col(_FILE).alias("__kl_f")).agg(F.min(_AT).alias("__kl_end"))
+        df = _by_file(df, ends, "left").filter(F.col("__kl_end").isNull() | (F.col(_AT) <= F.col("__kl_end")))
+    df = df.select(F.regexp_replace(_RECORD, r"(?s)#DREENDDATA.*\z", "").alias(_RECORD)).filter(F.col(_RECORD).contains("#DRE"))
     return finish(_checked(df, lambda t: X.idx_pairs(t, store_content=store_content)), columns)
 
 
 def load_dc(spark: SparkSession, source: str | DataFrame, columns: dict[str, str] | None = None, *, format: str = "") -> Loaded:
     """Data-collector records of ``key:value`` lines, each ended by a line with a dot."""
-    df = records(spark, source, "\n.\n").filter(r"value rlike '[^\\s]'")
-    return finish(_from_column(df, X.dc_vmap(F.col("value"))), columns)
+    df = records(spark, source, "\n.\n").filter(F.col(_RECORD).rlike(r"[^\s]"))
+    return finish(_parsed(df, X.dc_vmap(F.col(_RECORD))), columns)
 
 
-def load_avro(spark: SparkSession, source: str | DataFrame, columns: dict[str, str] | None = None, **options) -> Loaded:
-    """Avro container files, or a binary column ``content`` of such."""
+def load_avro(
+    spark: SparkSession,
+    source: str | DataFrame,
+    columns: dict[str, str] | None = None,
+    *,
+    reject_on_materialized_type_error: bool = False,
+    enforce_length: bool = False,
+    plain: bool = False,
+    **options,
+) -> Loaded:
+    """Avro container files, or a binary column ``content`` of such.
+
+    With ``plain`` the table has ``columns`` only, and a record's fields fill them by place.
+    A file is one task.
+    """
     from .avro import AvroOptions, container_rows
 
-    o = AvroOptions(**options)
+    o, by_place = AvroOptions(**options), list(columns or {}) if plain else None
     df = source.select("content") if isinstance(source, DataFrame) else spark.read.format("binaryFile").load(source).select("content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            held = []
-            for data in batch.column("content").to_pylist():
-                for pairs in container_rows(data, o):
-                    held.append({"vmap": [{"key": k, "value": v, "is_map": m} for k, v, m in pairs], "reason": None, "value": None})
-                    if len(held) >= 2000:
-                        yield pa.RecordBatch.from_pylist(held, schema=_ARROW)
-                        held = []
-            yield pa.RecordBatch.from_pylist(held, schema=_ARROW)
+        files = (data for batch in batches for data in batch.column(0).to_pylist() if data is not None)
+        return _handed((pairs, None, None) for data in files for pairs in container_rows(data, o, by_place))
 
-    return finish(df.mapInArrow(run, _PARSED), columns)
+    return finish(df.mapInArrow(run, _PARSED), columns, reject_type_errors=reject_on_materialized_type_error, enforce_length=enforce_length)

@@ -187,3 +187,63 @@ def test_avro(spark):
     assert avro._snappy(pa.compress(plain, codec="snappy", asbytes=True) + struct.pack(">I", binascii.crc32(plain))) == plain
     with pytest.raises(ValueError):
         avro._snappy(pa.compress(plain, codec="snappy", asbytes=True) + b"\0\0\0\0")
+
+
+def test_headers_of_many_files(spark, tmp_path, monkeypatch):
+    """Each file has its own header; a record equal to one is a record; many files are joined, not sent along."""
+    (tmp_path / "a.txt").write_text("x|y\n1|2\nx|y\n")
+    (tmp_path / "b.txt").write_text("\ny|x\n3|4\n")
+    for few in (10_000, 0):
+        monkeypatch.setattr(load, "FEW_FILES", few)
+        rows = load.load_delimited(spark, str(tmp_path), {"x": "string", "y": "string"}).rows
+        assert sorted((r["x"], r["y"]) for r in rows.collect()) == [("1", "2"), ("4", "3"), ("x", "y")]
+    bad = load.load_delimited(spark, str(tmp_path / "a.txt"), {"x": "string"}, reject_on_duplicate=True, delimiter="z")
+    assert bad.rows.count() == 2
+
+
+def test_own_names(spark):
+    """Columns may be called as the loader's own."""
+    df = spark.createDataFrame([('{"reason": "r", "value": 1, "vmap": "m", "a.b": 2}',), ("{bad",)], "value string")
+    loaded = load.load_json(spark, df, {"reason": "string", "value": "int", "vmap": "string", "a.b": "int"}, record_terminator="\n")
+    assert [tuple(r)[1:] for r in loaded.rows.collect()] == [("r", 1, "m", 2)]
+    assert [r["record"] for r in loaded.rejects.collect()] == ["{bad"]
+
+
+def test_json_depth_and_halves(spark):
+    df = spark.createDataFrame([("[" * 5000,), ('{"k\\udc00": "\\ud83d\\ude00 \\ud83d"}',), ('{"a": 1}',)], "value string")
+    loaded = load.load_json(spark, df, record_terminator="\n")
+    assert sorted(maps(loaded)) == [[("a", "1")], [("k�", "\U0001f600 �")]]
+    assert loaded.rejects.count() == 1
+    quiet = spark.createDataFrame([("[" * 5000,)], "t string").select(X.mapjsonextractor(F.col("t"), error_action="None").alias("m"))
+    assert quiet.first()["m"] is None
+
+
+@pytest.mark.parametrize("text", ['{"a":1.50, "b" : "x y","c":null,"d":true,"e":-0.0e3}', "{}", ' { "k" : "v" } ', '{"":1,"B":2,"b":"3"}', '{"a":"x\\"y"}', '{"a":[1]}', '{"a":1}{"a":2}', '{"a":01}', "[]", '{"a" 1}'])
+@pytest.mark.parametrize("omit", [False, True])
+def test_flat_objects(spark, text, omit, monkeypatch):
+    """Built-in expressions and the scanner agree."""
+    df, got = spark.createDataFrame([(text,)], "t string"), []
+    for size in (2000, -1):
+        monkeypatch.setattr(X, "FLAT_SIZE", size)
+        made = X.mapjsonextractor(F.col("t"), reject_action="None", error_action="None", omit_empty_keys=omit)
+        got.append(df.select(made.alias("m")).first()["m"])
+    assert got[0] == got[1]
+
+
+def test_escaped_cells():
+    cells = lambda t: list(load.escaped_cells(t, ";", "|", '"', "\\"))
+    assert cells('a;"b;|""c|x\\;y;\n\\||;|') == [["a", 'b;|"c'], ["x;y", "\n|"], ["", ""]]
+    assert cells("||a\\") == [["a"]] and cells("") == []
+
+
+def test_csv_long_cell(spark, tmp_path):
+    (tmp_path / "f.csv").write_text("a,b\n" + "x" * 200_000 + ",2\n3\n")
+    plain = load.load_csv(spark, str(tmp_path / "f.csv"), {"a": "string", "b": "int"}, plain=True)
+    assert [(len(r["a"]), r["b"]) for r in plain.rows.collect()] == [(200_000, 2)]
+    assert [tuple(r) for r in plain.rejects.collect()] == [("1 cells for 2 columns", "3")]
+
+
+def test_plain_regex(spark):
+    df = spark.createDataFrame([("a1",)], "value string")
+    with pytest.raises(ValueError, match="no columns"):
+        load.load_regex(spark, df, {"w": "string"}, pattern="(?<w>[a-z])(?<n>[0-9])", plain=True)
