@@ -6,6 +6,7 @@ import atexit
 import ctypes
 import shutil
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,61 @@ def words_of(raw: bytes | None, fold: bool = False) -> list[bytes]:
     return (raw.translate(FOLD) if fold else raw).split()
 
 
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: An odd number: it has an inverse modulo 2**64.
+_STEP = 0x9E3779B97F4A7C15
+#: Bytes whose words are hashed at once.
+_CHUNK = 1 << 20
+_POWERS: list[np.ndarray] = []
+
+
+def word_spans(buf: np.ndarray, outside: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a text begin and end; ``outside`` tells which bytes part them."""
+    edge = np.diff(np.r_[True, outside[buf], True].astype(np.int8))
+    return np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of the step and of its inverse."""
+    if _POWERS and len(_POWERS[0]) >= n:
+        return _POWERS
+    size = max(n, _CHUNK)
+    made = []
+    for base in (_STEP, pow(_STEP, -1, 1 << 64)):
+        row = np.full(size, base, np.uint64)
+        row[0] = 1
+        made.append(np.cumprod(row))
+    if size == _CHUNK:
+        _POWERS[:] = made
+    return made
+
+
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word: a polynomial in its bytes, from sums over all bytes before."""
+    out = np.empty(len(starts), np.uint64)
+    cuts = np.r_[np.unique(np.searchsorted(starts, np.arange(0, len(buf), _CHUNK))), len(starts)]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if a == b:
+            continue
+        lo, hi = starts[a], ends[b - 1]
+        power, inverse = _powers(hi - lo + 1)
+        sums = np.r_[np.uint64(0), np.cumsum((buf[lo:hi].astype(np.uint64) + np.uint64(1)) * power[: hi - lo])]
+        s = starts[a:b] - lo
+        out[a:b] = (sums[ends[a:b] - lo] - sums[s]) * inverse[s]
+    return mixed(out)
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """Numbers one to one, with all bits depending on all."""
+    h = h ^ (h >> np.uint64(33))
+    h *= np.uint64(0xFF51AFD7ED558CCD)
+    h ^= h >> np.uint64(33)
+    h *= np.uint64(0xC4CEB9FE1A85EC53)
+    h ^= h >> np.uint64(33)
+    return h
+
+
 def raw_texts(column: pa.Array) -> list[bytes | None]:
     """The UTF-8 bytes of each row of a string column."""
     if isinstance(column, pa.ChunkedArray):
@@ -58,6 +114,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """As :func:`cut`, but as a Parquet table, which is smaller where rows are many and short."""
+    at = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.parquet(at)
+
+
 def pack_planes(values: np.ndarray) -> bytes:
     """Whole numbers as planes of bytes, the lowest first, without empty high planes.
 
