@@ -5,7 +5,8 @@ least one, then its smaller ones are.  The edges shrink to one star for each
 component; the number of rounds grows with the logarithm of the longest path.
 Links, nodes and labels never leave the executors; the driver sees two numbers
 a round.  Each round is cut off at the shared checkpoint folder, so a lost
-executor costs one round at most.
+executor costs one round at most.  As few links as ``LOCAL_LINKS`` are not worth
+rounds: they are counted first, and one task joins them, with the same result.
 
 A node with very many neighbours is no task of its own: least neighbours are
 taken by partial aggregation, and the join that brings them back is one whose
@@ -15,11 +16,14 @@ large partitions adaptive execution splits.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import cut
 
 MAX_ROUNDS = 100
+#: Links that one task joins, 16 MB of them at most; more are joined in rounds.
+LOCAL_LINKS = 1 << 20
 
 
 def local_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -60,6 +64,23 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return hung.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _joined(edges: DataFrame) -> DataFrame:
+    """Components of few links, in one task."""
+
+    def solve(batches):
+        held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        if not held:
+            return
+        u, v = (np.concatenate(x) for x in zip(*held, strict=True))
+        nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+        label = local_labels(len(nodes), at[: len(u)], at[len(u) :])
+        for lo in range(0, len(nodes), 100_000):
+            own = slice(lo, lo + 100_000)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[own]), pa.array(nodes[label[own]])], ["node", "component"])
+
+    return edges.coalesce(1).mapInArrow(solve, "node long, component long")
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node``, ``component`` (its least node) for every node that has a link.
 
@@ -70,6 +91,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     kept = edges.filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
     edges = cut(kept.select(hi, lo).distinct())
     state = _state(edges)
+    if state[0] <= LOCAL_LINKS:
+        return _joined(edges)
     for _ in range(MAX_ROUNDS):
         if not state[0]:
             break

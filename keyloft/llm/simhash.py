@@ -130,12 +130,8 @@ def meet(fps: np.ndarray, place: int, bits: int, radius: int) -> tuple[np.ndarra
     return _forest(len(fps), fps, links, radius)
 
 
-def _forest(n: int, fps: np.ndarray, links: list, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    a, b = (np.concatenate(x) for x in zip(*links, strict=True))
-    near = (a != b) & (np.bitwise_count(fps[a] ^ fps[b]) <= radius)  # verified, whatever brought them here
-    a, b = a[near], b[near]
-    key = np.unique(np.minimum(a, b) * n + np.maximum(a, b)) if len(a) else a
-    a, b = key // max(n, 1), key % max(n, 1)
+def _spanning(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Places of links that join all that the links join, none too many."""
     # Borůvka's rounds keep true links only: each component takes one that leads out.
     label, kept = np.arange(n), []
     left = np.arange(len(a))
@@ -153,7 +149,14 @@ def _forest(n: int, fps: np.ndarray, links: list, radius: int) -> tuple[np.ndarr
         while not np.array_equal(up[up], up):
             up = up[up]
         label = up[label]
-    kept = np.concatenate(kept) if kept else np.zeros(0, np.int64)
+    return np.concatenate(kept) if kept else np.zeros(0, np.int64)
+
+
+def _forest(n: int, fps: np.ndarray, links: list, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    a, b = (np.concatenate(x) for x in zip(*links, strict=True))
+    near = (a != b) & (np.bitwise_count(fps[a] ^ fps[b]) <= radius)  # verified, whatever brought them here
+    a, b = _distinct(a[near], b[near], n)
+    kept = _spanning(n, a, b)
     return a[kept], b[kept]
 
 
@@ -210,7 +213,8 @@ def simhash_components(
     among them.  Null and empty texts have fingerprint 0, linked like any other.
     Repeated ids each keep a row; a null id is passed over in the choice of the
     least, so a component without any id has a null ``component_id``.  An empty
-    table gives an empty result.  Ids are integers; other columns are ignored.
+    table gives an empty result.  Very long texts are hashed whole, in slices.  Ids are
+    integers; other columns are ignored, whatever their names.
     """
     narrow = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("t"))
     rows = cut(with_fingerprints(narrow, text_col="t", shingle=shingle).select("id", "fp"))
@@ -235,23 +239,29 @@ def simhash_components(
 # That probability does not hold for sets of few shingles, so those are joined by
 # their rarest shingles, which misses none.
 #
-# Meeting is no link: every link is verified by the shingle sets themselves.  The
-# members of a crowded bucket are not paired there.  They make up a crowd, whose
-# members are all compared in bounded blocks, save those that links join already.
+# Meeting is no link: every link is verified by the shingle sets themselves.  Work
+# comes in two rounds.  In the first, a few words only are looked at, and in each, as
+# few pairs are compared as join all that meet; so the members of a large group of
+# copies are mostly joined by a few times as many comparisons as they are.  In the
+# second, all that meet in any word and are not joined yet are compared: pair by pair in
+# small buckets; the members of crowded ones make up a crowd, in which those outside
+# its largest group are compared with everyone in bounded blocks.
 
 WORD_RADIUS = 2
 #: Chance that a pair at the border is missed.
 MISSED = 0.005
+#: Words of the first round.
+FIRST_WORDS = 6
 #: Pairs of buckets of at most so many are written out; larger ones make a crowd.
-BUCKET = 10
+BUCKET = 8
 #: Texts of at most so many shingles are joined by their rarest shingles.
 FEW = 64
 #: No two sets of any size at J = 0.8 or more differ in a bit with a greater chance.
 MOST_CHANCE = 0.19
 #: Chance that the bound on differing bits drops a pair at all.
 DROPPED = 1e-9
-#: Members and shingles of a block, about.
-BLOCK, LARGE_BLOCK, BLOCK_SHINGLES = 128, 1024, 1 << 19
+#: Members and shingles of a block of a crowd, about.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 19
 #: So many ids are broadcast at most.
 SMALL = 100_000
 
@@ -320,8 +330,8 @@ def _alike(pairs: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").filter(jaccard("sa", "sb") >= similarity).select("a", "b")
 
 
-def _few_pairs(few: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """Pairs and crowd links of all small sets (``cls``, ``n``, ``s``) that may be alike.
+def _few_tokens(few: DataFrame, similarity: float) -> DataFrame:
+    """``cls``, ``h``: the shingles by which small sets (``cls``, ``n``, ``s``) that are alike meet.
 
     Two sets that are alike share one of the rarest shingles of each: the
     first ``n - ceil(similarity * n) + 1`` of them in one order for all sets.
@@ -335,12 +345,20 @@ def _few_pairs(few: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]
     counts = each.groupBy("h").agg(F.count("*").alias("k"))
     ranked = each.join(counts, "h").groupBy("cls", "n").agg(F.sort_array(F.collect_list(F.struct("k", "h"))).alias("o"))
     keep = (F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1).cast("int")
-    tokens = cut(ranked.select("cls", F.explode(F.slice("o", F.lit(1), keep)["h"]).alias("h")))
-    size = tokens.groupBy("h").agg(F.count("*").alias("k"), F.min("cls").alias("hub")).filter("k > 1")
-    tokens = cut(tokens.join(size, "h"))
-    small = tokens.filter(F.col("k") <= BUCKET)
-    pairs = small.select("h", F.col("cls").alias("a")).join(small.select("h", F.col("cls").alias("b")), "h").filter("a < b")
-    return pairs.select("a", "b").distinct(), tokens.filter((F.col("k") > BUCKET) & (F.col("cls") != F.col("hub"))).select(F.col("hub").alias("a"), F.col("cls").alias("b"))
+    tokens = ranked.select("cls", F.explode(F.slice("o", F.lit(1), keep)["h"]).alias("h"))
+    shared = tokens.groupBy("h").agg(F.count("*").alias("k"), F.min("cls").alias("hub")).filter("k > 1")
+    return cut(tokens.join(shared, "h"))
+
+
+def _few_pairs(tokens: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs and crowd links between small sets that meet and have different labels."""
+    known = tokens.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    apart = known.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("h")
+    known = cut(known.join(apart, "h"))
+    small = known.filter(F.col("k") <= BUCKET)
+    a, b = (small.select("h", F.col("cls").alias(x), F.col("label").alias(f"l{x}")) for x in "ab")
+    pairs = a.join(b, "h").filter("a < b AND la <> lb").select("a", "b").distinct()
+    return pairs, known.filter((F.col("k") > BUCKET) & (F.col("cls") != F.col("hub"))).select(F.col("hub").alias("a"), F.col("cls").alias("b"))
 
 
 def long_fingerprint(hashes: np.ndarray, bits: int, words: int) -> np.ndarray:
@@ -362,10 +380,10 @@ def long_fingerprint(hashes: np.ndarray, bits: int, words: int) -> np.ndarray:
     return np.packbits(padded, axis=1).view(">u8").astype(np.uint64).ravel()
 
 
-def _bucket_pairs(words: np.ndarray, ids: np.ndarray, place: int, head: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids whose words share a variant, one flip away at most, that begins with ``place``.
+def _buckets(words: np.ndarray, place: int, head: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words that share a variant, one flip away at most, that begins with ``place``.
 
-    All pairs of small buckets, and with a flag the links that hold crowded ones together.
+    Their places by bucket, where the buckets begin, and their sizes.
     """
     low = bits - head
     apart = (words >> np.uint64(low)) ^ np.uint64(place)
@@ -376,32 +394,56 @@ def _bucket_pairs(words: np.ndarray, ids: np.ndarray, place: int, head: int, bit
     order = np.argsort(variants, kind="stable")
     variants, who = variants[order], who[order]
     same = variants[1:] == variants[:-1]
-    crowd = np.r_[same, False] | np.r_[False, same]
-    variants, who = variants[crowd], who[crowd]
-    if not len(who):
-        return ids[:0], ids[:0], np.zeros(0, bool)
-    first = np.flatnonzero(np.r_[True, variants[1:] != variants[:-1]])
-    size = np.diff(np.r_[first, len(who)])
+    met = np.r_[same, False] | np.r_[False, same] if len(who) else np.zeros(0, bool)
+    variants, who = variants[met], who[met]
+    first = np.flatnonzero(np.r_[True, variants[1:] != variants[:-1]][: len(who)])
+    return who, first, np.diff(np.r_[first, len(who)])
+
+
+def _distinct(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    key = np.unique(np.minimum(a, b) * n + np.maximum(a, b))
+    return key // max(n, 1), key % max(n, 1)
+
+
+def _first_pairs(words: np.ndarray, place: int, head: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of neighbours in buckets, as many as join all that meet."""
+    who, first, size = _buckets(words, place, head, bits)
+    inner = np.ones(len(who), bool)
+    inner[first] = False
+    at = np.flatnonzero(inner)
+    a, b = _distinct(who[at - 1], who[at], len(words))
+    kept = _spanning(len(words), a, b)
+    return a[kept], b[kept]
+
+
+def _later_pairs(words: np.ndarray, labels: np.ndarray, place: int, head: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of unlike label in small buckets, and with a flag the links that hold crowded ones together."""
+    who, first, size = _buckets(words, place, head, bits)
+    if len(who):  # buckets of one label have nothing left to join
+        own = labels[who]
+        mixed = np.repeat(np.minimum.reduceat(own, first) != np.maximum.reduceat(own, first), size)
+        bucket = np.repeat(np.arange(len(first)), size)[mixed]
+        who = who[mixed]
+        first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]][: len(who)])
+        size = np.diff(np.r_[first, len(who)])
     lead, large = np.repeat(who[first], size), np.repeat(size > BUCKET, size)
-    label = local_labels(len(ids), lead[large], who[large])
-    hung = np.flatnonzero(label != np.arange(len(ids)))
-    variants, who = variants[~large], who[~large]
+    crowd = local_labels(len(words), lead[large], who[large])
+    hung = np.flatnonzero(crowd != np.arange(len(words)))
+    bucket, who = np.repeat(np.arange(len(first)), size)[~large], who[~large]
     pairs = [np.zeros((2, 0), np.int64)]
     for d in range(1, BUCKET):
-        near = np.flatnonzero(variants[d:] == variants[:-d])
+        near = np.flatnonzero((bucket[d:] == bucket[:-d]) & (labels[who[d:]] != labels[who[:-d]]))
         pairs.append(np.stack([who[near], who[near + d]]))
     a, b = np.concatenate(pairs, axis=1)
-    a, b = np.minimum(a, b), np.maximum(a, b)
-    key = np.unique((a * len(ids) + b)[label[a] != label[b]])  # a crowd compares its own
-    a, b = np.r_[key // len(ids), label[hung]], np.r_[key % len(ids), hung]
-    return ids[a], ids[b], np.r_[np.zeros(len(key), bool), np.ones(len(hung), bool)]
+    apart = crowd[a] != crowd[b]  # a crowd compares its own
+    a, b = _distinct(a[apart], b[apart], len(words))
+    return np.r_[a, crowd[hung]], np.r_[b, hung], np.r_[np.zeros(len(a), bool), np.ones(len(hung), bool)]
 
 
-def _compare(ids: np.ndarray, sets: list[np.ndarray], label: np.ndarray, rows: np.ndarray | None, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+def _compare(ids: np.ndarray, sets: list[np.ndarray], label: np.ndarray, rows: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """Links between sets that are alike and of different label, enough to join all that are linked.
 
-    Each of ``rows`` is compared with every other set.  Without it all pairs
-    are, save those within the component of the most common set.
+    Each of ``rows`` is compared with every other set.
     """
     size = np.array([len(x) for x in sets], np.int64)
     who = np.repeat(np.arange(len(sets)), size)
@@ -410,13 +452,8 @@ def _compare(ids: np.ndarray, sets: list[np.ndarray], label: np.ndarray, rows: n
     posting = who[np.argsort(token, kind="stable")]
     begin = np.r_[0, np.cumsum(count)]
     label = np.unique(label, return_inverse=True)[1]
-    central = rows is None
-    if central:
-        rows = np.argsort(-np.add.reduceat(count[token], start[:-1]) / size, kind="stable")
     links: list[tuple[int, int]] = []
     for i in rows:
-        if central and i != rows[0] and label[i] == label[rows[0]]:
-            continue
         own = token[start[i] : start[i + 1]]
         shared = np.bincount(np.concatenate([posting[begin[t] : begin[t + 1]] for t in own]), minlength=len(sets))
         near = np.flatnonzero((shared / np.maximum(1, size + size[i] - shared) >= similarity) & (label != label[i]))
@@ -427,61 +464,26 @@ def _compare(ids: np.ndarray, sets: list[np.ndarray], label: np.ndarray, rows: n
     return ids[a], ids[b]
 
 
-def _crowd_links(crowds: DataFrame, classes: DataFrame, held: DataFrame, links: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Links between all members of each crowd that are alike, enough to join all that are linked.
+def _crowd_links(crowds: DataFrame, classes: DataFrame, labels: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
+    """Links within each crowd between members of different label that are alike, enough to join all that are linked.
 
-    ``crowds`` (``node``, ``component``) are sets that met in crowded buckets.
-    The members are dealt into blocks, each with the member nearest the middle of
-    the crowd, and all pairs of a block are compared.  Those that are then not
-    joined with most of their crowd meet all other blocks in a grid.
+    ``crowds`` (``node``, ``component``) are sets that met in crowded buckets.  Those
+    outside the crowd's largest group meet all members in a grid of blocks.
     """
-    of = crowds.select(F.col("node").alias("cls"), F.col("component").alias("crowd")).join(classes.select("cls", "n", "fp"), "cls")
-    size = of.groupBy("crowd").agg(F.count("*").alias("m"), F.sum("n").alias("all"))
-    side = F.least(F.lit(LARGE_BLOCK), F.greatest(F.lit(BLOCK), F.ceil(F.col("m") / 16)))
-    blocks = F.greatest(F.ceil(F.col("m") / side), F.ceil(F.col("all") / BLOCK_SHINGLES)).cast("int")
-    size = cut(size.select("crowd", "m", blocks.alias("blocks")))
-    of = cut(of.join(F.broadcast(size) if size.count() <= SMALL else size, "crowd").withColumn("block", F.pmod(F.xxhash64("cls"), "blocks").cast("int")))
-    large = of.filter("blocks > 1")
-
-    def middle(table: pa.Table) -> pa.Table:
-        rows = [x for x in table.column("fp").to_pylist() if x]
-        if not rows:
-            return table.select(["crowd", "fp"]).slice(0, 1)
-        on = np.unpackbits(np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1), axis=1).sum(0)
-        return pa.table({"crowd": table.column("crowd").slice(0, 1), "fp": pa.array([np.packbits(on * 2 > len(rows)).tobytes()], pa.binary())})
-
-    @F.arrow_udf("long")
-    def distance(a: pa.Array, b: pa.Array) -> pa.Array:
-        out = [int(np.bitwise_count(np.frombuffer(x, np.uint64) ^ np.frombuffer(y, np.uint64)).sum()) if x and y else 1 << 30 for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)]
-        return pa.array(out, pa.int64())
-
-    sample = large.filter(F.pmod(F.xxhash64("cls", F.lit(1)), F.ceil(F.col("m") / 64)) == 0).select("crowd", "fp")
-    centre = sample.groupBy("crowd").applyInArrow(middle, "crowd long, fp binary").withColumnRenamed("fp", "mid")
-    pivots = large.join(centre, "crowd", "left").groupBy("crowd", "blocks").agg(F.min(F.struct(distance("fp", "mid").alias("d"), "cls"))["cls"].alias("cls"))
-    pivots = pivots.select("crowd", "cls", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    dealt = of.select("crowd", "cls", "block").unionByName(pivots).distinct()
-    named = held.withColumnRenamed("id", "cls")
-
-    def within(table: pa.Table) -> pa.Table:
-        ids = table.column("cls").to_numpy()
-        a, b = _compare(ids, [np.frombuffer(x, np.uint64) for x in table.column("s").to_pylist()], ids, None, similarity)
-        release_memory()
-        return pa.table({"a": pa.array(a), "b": pa.array(b)})
-
-    found = cut(links.unionByName(dealt.join(named, "cls").groupBy("crowd", "block").applyInArrow(within, "a long, b long")))
-    if large.isEmpty():
-        return found
-    comps = connected_components(found)
-    large = large.select("crowd", "cls", "m", "blocks", "block").join(comps, F.col("cls") == F.col("node"), "left")
-    large = cut(large.withColumn("label", F.coalesce("component", "cls")).drop("node", "component"))
-    parts = large.groupBy("crowd", "label").agg(F.count("*").alias("k"))
-    most = parts.groupBy("crowd").agg(F.max(F.struct("k", "label"))["label"].alias("main"), F.sum("k").alias("sum"), F.max("k").alias("top"))
-    most = most.filter("sum > top").withColumn("left", F.col("sum") - F.col("top")).drop("sum", "top")
-    large = large.join(most, "crowd").withColumn("rows", F.ceil(F.col("left") * F.col("blocks") / F.col("m")).cast("int"))
-    line = F.pmod(F.xxhash64("cls", F.lit(2)), "rows").cast("int")
-    fields = ["crowd", "cls", "label"]
-    strays = large.filter("label != main").select(*fields, line.alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(True).alias("stray"))
-    others = large.select(*fields, F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), F.col("block").alias("j"), F.lit(False).alias("stray"))
+    of = crowds.select(F.col("node").alias("cls"), F.col("component").alias("crowd")).join(classes.select("cls", "n"), "cls")
+    of = of.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    parts = of.groupBy("crowd", "label").agg(F.count("*").alias("k"), F.sum("n").alias("n"))
+    size = parts.groupBy("crowd").agg(
+        F.max(F.struct("k", "label"))["label"].alias("main"), F.sum("k").alias("m"), F.sum("n").alias("all"), F.max("k").alias("top")
+    )
+    blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("all") / BLOCK_SHINGLES))
+    size = size.filter("m > top").withColumn("blocks", blocks.cast("int"))
+    size = cut(size.select("crowd", "main", "blocks", F.ceil((F.col("m") - F.col("top")) * F.col("blocks") / F.col("m")).cast("int").alias("rows")))
+    of = cut(of.join(F.broadcast(size) if size.count() <= SMALL else size, "crowd").join(held.withColumnRenamed("id", "cls"), "cls"))
+    block, line = F.pmod(F.xxhash64("cls"), "blocks").cast("int"), F.pmod(F.xxhash64("cls", F.lit(2)), "rows").cast("int")
+    fields = ["crowd", "cls", "label", "s"]
+    strays = of.filter("label != main").select(*fields, line.alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(True).alias("stray"))
+    others = of.filter("blocks > 1 OR label = main").select(*fields, F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), block.alias("j"), F.lit(False).alias("stray"))
 
     def across(table: pa.Table) -> pa.Table:
         ids, stray = table.column("cls").to_numpy(), table.column("stray").to_numpy()
@@ -490,8 +492,7 @@ def _crowd_links(crowds: DataFrame, classes: DataFrame, held: DataFrame, links:
         release_memory()
         return pa.table({"a": pa.array(a), "b": pa.array(b)})
 
-    grid = strays.unionByName(others).join(named, "cls").groupBy("crowd", "i", "j").applyInArrow(across, "a long, b long")
-    return found.unionByName(cut(grid))
+    return strays.unionByName(others).groupBy("crowd", "i", "j").applyInArrow(across, "a long, b long")
 
 
 def similar_components(
@@ -505,7 +506,9 @@ def similar_components(
     much, a part of ``MISSED`` does not.  Texts of fewer words than a shingle are
     one shingle; texts without words are linked with each other.  Ids are integers
     and unique; a null id is a row of its own group, with a null ``component_id``.
-    An empty table gives an empty result.
+    An empty table gives an empty result.  Very long texts are compared whole; a task
+    needs memory for some of their shingle sets at once.  Other columns are ignored,
+    whatever their names.
     """
     narrow = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("t"))
     bits, words = layout(narrow.count(), similarity)
@@ -529,35 +532,52 @@ def similar_components(
     n = many.count()
     head = min(bits - 1, max(0, math.ceil(math.log2(max(1, n * (bits + 1)) / PLACE_VARIANTS)) + 1))
     heads = np.r_[0, 1 << np.arange(head)].astype(np.int64)
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, len(batch), 2000):
-                part = batch.slice(at, 2000)
-                word = np.frombuffer(b"".join(part.column("fp").to_pylist()), np.uint64).reshape(len(part), words)
-                ids = part.column("cls").to_numpy()
-                out = {"word": [], "place": [], "words": [], "ids": []}
-                for j in range(words):
-                    own = (word[:, j] >> np.uint64(bits - head)).astype(np.int64)
-                    place = (own[:, None] ^ heads[None, :]).ravel()
-                    who = np.repeat(np.arange(len(part)), len(heads))
-                    order = np.argsort(place, kind="stable")
-                    place, who = place[order], who[order]
-                    starts = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
-                    for p, group in zip(place[starts], np.split(who, starts[1:]), strict=True):
-                        for k, v in zip(out, (j, int(p), word[group, j].tobytes(), ids[group].tobytes()), strict=True):
-                            out[k].append(v)
-                yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("word", pa.int32()), ("place", pa.int64()), ("words", pa.binary()), ("ids", pa.binary())]))
-
-    def join(key: tuple, table: pa.Table) -> pa.Table:
-        word = np.frombuffer(b"".join(table.column("words").to_pylist()), np.uint64)
-        ids = np.frombuffer(b"".join(table.column("ids").to_pylist()), np.int64)
-        a, b, crowd = _bucket_pairs(word, ids, key[1].as_py(), head, bits)
+    fields = [("word", pa.int32()), ("place", pa.int64()), ("words", pa.binary()), ("ids", pa.binary()), ("labels", pa.binary())]
+
+    def dealt(members: DataFrame, used: int) -> DataFrame:
+        """The first ``used`` words of each member (``cls``, ``label``, ``fp``) at the places where its variants begin."""
+
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, len(batch), 2000):
+                    part = batch.slice(at, 2000)
+                    word = np.frombuffer(b"".join(part.column("fp").to_pylist()), np.uint64).reshape(len(part), words)
+                    ids, labels = part.column("cls").to_numpy(), part.column("label").to_numpy()
+                    labels = np.where(labels == ids, 0, labels + 1)  # most are their own, and zeros compress
+                    out = {name: [] for name, _ in fields}
+                    for j in range(used):
+                        own = (word[:, j] >> np.uint64(bits - head)).astype(np.int64)
+                        place = (own[:, None] ^ heads[None, :]).ravel()
+                        who = np.repeat(np.arange(len(part)), len(heads))
+                        order = np.argsort(place, kind="stable")
+                        place, who = place[order], who[order]
+                        starts = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+                        for p, group in zip(place[starts], np.split(who, starts[1:]), strict=True):
+                            for k, v in zip(out, (j, int(p), word[group, j].tobytes(), ids[group].tobytes(), labels[group].tobytes()), strict=True):
+                                out[k].append(v)
+                    yield pa.RecordBatch.from_pydict(out, schema=pa.schema(fields))
+
+        return members.select("cls", "label", "fp").mapInArrow(deal, "word int, place long, words binary, ids binary, labels binary").groupBy("word", "place")
+
+    def opened(table: pa.Table) -> list[np.ndarray]:
+        kinds = (("words", np.uint64), ("ids", np.int64), ("labels", np.int64))
+        word, ids, labels = (np.frombuffer(b"".join(table.column(c).to_pylist()), kind) for c, kind in kinds)
+        return word, ids, np.where(labels == 0, ids, labels - 1)
+
+    def told(ids: np.ndarray, a: np.ndarray, b: np.ndarray, crowd: np.ndarray) -> pa.Table:
+        a, b = ids[a], ids[b]
         release_memory()
         return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b)), "crowd": pa.array(crowd)})
 
-    met = many.select("cls", "fp").mapInArrow(deal, "word int, place long, words binary, ids binary")
-    met = cut(met.groupBy("word", "place").applyInArrow(join, "a long, b long, crowd boolean").distinct())
+    def early(key: tuple, table: pa.Table) -> pa.Table:
+        word, ids, _ = opened(table)
+        a, b = _first_pairs(word, key[1].as_py(), head, bits)
+        return told(ids, a, b, np.zeros(len(a), bool))
+
+    def late(key: tuple, table: pa.Table) -> pa.Table:
+        word, ids, labels = opened(table)
+        return told(ids, *_later_pairs(word, labels, key[1].as_py(), head, bits))
+
     high = most_differing(bits * words, similarity)
 
     @F.arrow_udf("long")
@@ -566,13 +586,28 @@ def similar_components(
         return pa.array(np.bitwise_count(x ^ y).sum(1, dtype=np.int64))
 
     left, right = many.select(F.col("cls").alias("a"), F.col("fp").alias("fa")), many.select(F.col("cls").alias("b"), F.col("fp").alias("fb"))
-    scored = met.filter("NOT crowd").join(left, "a").join(right, "b").filter(differing("fa", "fb") <= high).select("a", "b")
-    few_pairs, few_crowds = _few_pairs(classes.filter((F.col("n") > 0) & (F.col("n") <= few)).select("cls", "n", "s"), similarity)
-    pairs = cut(scored.unionByName(few_pairs).distinct())
+
+    def near(pairs: DataFrame) -> DataFrame:
+        return pairs.join(left, "a").join(right, "b").filter(differing("fa", "fb") <= high).select("a", "b")
+
+    met_as = "a long, b long, crowd boolean"
+    tokens = _few_tokens(classes.filter((F.col("n") > 0) & (F.col("n") <= few)).select("cls", "n", "s"), similarity)
+    # Round one: few pairs of each word.
+    met = dealt(many.withColumn("label", F.col("cls")), min(FIRST_WORDS, words)).applyInArrow(early, met_as)
+    hubs = tokens.filter("cls != hub").select(F.col("hub").alias("a"), F.col("cls").alias("b"))
+    pairs = cut(near(met.select("a", "b").distinct()).unionByName(hubs).distinct())
+    held = _wanted(narrow, pairs.select(F.col("a").alias("id")).union(pairs.select("b")), shingle)
+    labels = cut(connected_components(_alike(pairs, held, similarity))).select(F.col("node").alias("cls"), F.col("component").alias("label"))
+    # Round two: whatever meets and is not joined yet.
+    known = many.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    met = cut(dealt(known, words).applyInArrow(late, met_as).distinct())
+    few_pairs, few_crowds = _few_pairs(tokens, labels)
+    pairs = cut(near(met.filter("NOT crowd").select("a", "b")).unionByName(few_pairs).distinct())
     crowds = cut(connected_components(met.filter("crowd").select("a", "b").unionByName(few_crowds)))
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(crowds.select("node"))
     held = _wanted(narrow, ids, shingle)
-    links = _crowd_links(crowds, classes, held, _alike(pairs, held, similarity), words, similarity)
+    links = labels.select(F.col("cls").alias("a"), F.col("label").alias("b")).unionByName(_alike(pairs, held, similarity))
+    links = links.unionByName(_crowd_links(crowds, classes, labels, held, similarity))
     comps = connected_components(links)
     to = classes.join(comps, F.col("cls") == F.col("node"), "left")
     to = to.select(F.col("key").alias("_key"), F.coalesce("component", "cls").alias("component_id"))
