@@ -17,6 +17,7 @@ labelled rows; its size does not depend on the corpus.
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -98,14 +99,55 @@ def host_of(url: Column) -> Column:
 
 def declared_of(html: Column) -> Column:
     """The main part of the language that a page's root element declares."""
-    said = F.regexp_extract(html, r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]+)", 1)
+    said = F.regexp_extract(html, r"(?i)<html\b[^<>]*?(?<![\w-])lang\s*=\s*[\"']?([A-Za-z]+)", 1)
     return F.nullif(F.lower(said), F.lit(""))
 
 
+_HIDDEN = re.compile(rb"<(script|style)\b", re.I)
+_ENTITY = re.compile(rb"&(?:#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z]+);")
+
+
+def page_text(raw: bytes) -> bytes:
+    """A page without scripts, styles, comments, tags and entities, in one pass.
+
+    What is opened and never closed is text, save that a script, style or comment
+    without an end loses its tag.
+    """
+    low, out, at = raw.lower(), [], 0
+    ends: dict[bytes, int] = {}
+
+    def closing(mark: bytes, start: int) -> int:
+        """Where the next ``mark`` begins; looked for once for all that come before it."""
+        if mark not in ends or 0 <= ends[mark] < start:
+            ends[mark] = low.find(mark, start)
+        return ends[mark]
+
+    while (lt := raw.find(b"<", at)) >= 0:
+        out.append(raw[at:lt])
+        hidden = _HIDDEN.match(raw, lt)
+        end = -1
+        if raw.startswith(b"<!--", lt):
+            end = closing(b"-->", lt + 4)
+        elif hidden:
+            end = closing(b"</" + hidden.group(1).lower(), hidden.end())
+        gt = closing(b"-->" if raw.startswith(b"<!--", lt) and end >= 0 else b">", max(end, lt)) if end >= 0 else closing(b">", lt)
+        if gt < 0:
+            at = lt
+            break
+        at = gt + (3 if end >= 0 and not hidden else 1)
+    out.append(raw[at:])
+    return _ENTITY.sub(b" ", b" ".join(out))
+
+
 def text_of(html: Column) -> Column:
-    """A page's text: without scripts, styles, comments, tags and entities."""
-    bare = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", " ")
-    return F.regexp_replace(bare, r"&(?:#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z]+);", " ")
+    """A page's text, see :func:`page_text`; null for null."""
+
+    @F.arrow_udf("string")
+    def bare(pages: pa.Array) -> pa.Array:
+        made = [None if raw is None else page_text(raw) for raw in raw_texts(pages)]
+        return pa.array(made, pa.binary()).cast(pa.string())
+
+    return bare(html)
 
 
 def identify(
@@ -129,7 +171,8 @@ def identify(
     Null and empty texts leave the decision to the other evidence and are not
     accepted.  A null declared language or host says nothing.  Repeated rows are
     judged each for itself, though they vote for one host.  An empty table gives an
-    empty result.
+    empty result.  Very long texts are read whole, in slices.  A column of ``keep`` that
+    is called as one of the result hides it; other columns are ignored.
     """
     names = [*languages, UND]
     n = len(names)
@@ -137,7 +180,7 @@ def identify(
     evidence = _text_evidence(sc.broadcast(model), languages)
     none = F.lit(None).cast("string")
     base = rows.select(
-        *keep,
+        *[rows[c].alias(f"_keep{i}") for i, c in enumerate(keep)],
         (none if declared is None else declared.cast("string")).alias("declared"),
         (none if host is None else host.cast("string")).alias("host"),
         F.coalesce(text.cast("string"), F.lit("")).alias("_t"),
@@ -191,4 +234,8 @@ def identify(
     fused = fused.withColumn("probability", 1 / weight).withColumn("lang_found", name)
     first = F.element_at(F.array(*[F.lit(x) for x in names]), F.col("_top") + 1)
     accepted = (F.col("lang_found") != UND) & (F.col("probability") >= least) & (F.element_at("_e", -1) > 0)
-    return fused.select(*keep, F.col("lang_found").alias("found_lang"), "probability", first.alias("text_lang"), "declared", "host", "suffix", accepted.alias("accepted"))
+    found = {"found_lang": F.col("lang_found"), "probability": F.col("probability"), "text_lang": first, "accepted": accepted}
+    found |= {c: F.col(c) for c in ("declared", "host", "suffix")}
+    order = ["found_lang", "probability", "text_lang", "declared", "host", "suffix", "accepted"]
+    kept = [F.col(f"_keep{i}").alias(c) for i, c in enumerate(keep)]
+    return fused.select(*kept, *[found[c].alias(c) for c in order if c not in keep])
