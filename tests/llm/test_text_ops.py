@@ -5,6 +5,7 @@ import hashlib
 import math
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -12,7 +13,7 @@ import xxhash
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from keyloft.llm import common, langid, licences, mixing, packing, ppm, secret_scan, simhash, substring
+from keyloft.llm import common, components, langid, licences, mixing, packing, ppm, secret_scan, simhash, substring
 from keyloft.llm.components import connected_components, local_labels
 from keyloft.llm.queries import tokenizer_file
 
@@ -91,6 +92,11 @@ def test_components(spark):
     assert connected_components(df.filter("a > 9999")).count() == 0
 
 
+def test_components_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(components, "LOCAL_LINKS", -1)
+    test_components(spark)
+
+
 # 1. Prediction by partial matching.
 
 
@@ -133,12 +139,13 @@ def brute_price(train, text, order):
     return total
 
 
-@pytest.mark.parametrize("size", [8_000_000, 4_000])
-def test_ppm(spark, docs, size, monkeypatch):
+@pytest.mark.parametrize(("size", "order"), [(8_000_000, 3), (4_000, 5)])
+def test_ppm(spark, docs, size, order, monkeypatch):
     monkeypatch.setattr(ppm, "BLOCK_BYTES", size)
+    monkeypatch.setattr(ppm, "PART_BYTES", size)
     held = {d: zlib.crc32(str(d).encode()) % 10 == 0 for d in TEXT}
     flag = F.crc32(F.col("doc_id").cast("string")) % 10 != 0
-    rows = {r["doc_id"]: r for r in ppm.score_corpus(docs.withColumn("train", flag), "train", order=3).collect()}
+    rows = {r["doc_id"]: r for r in ppm.score_corpus(docs.withColumn("train", flag), "train", order=order).collect()}
     tokens = {d: [*WORD.findall(t.translate(FOLD)), None] for d, t in TEXT.items()}
     count = collections.Counter(w for d, ws in tokens.items() if not held[d] for w in ws)
     n, kinds = sum(count.values()), len(count)
@@ -149,7 +156,7 @@ def test_ppm(spark, docs, size, monkeypatch):
         assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["train"]) == (len(ws), sum(count[w] > 0 for w in ws), n, not held[d])
         assert math.isclose(r["base_score"], sum(math.log10((count[w] + 0.1) / (n + 0.1 * (kinds + 1))) for w in ws), rel_tol=1e-9)
         if len(normal[d]) < 600:
-            assert math.isclose(r["score"], brute_price(train, normal[d], 3), rel_tol=1e-5)
+            assert math.isclose(r["score"], brute_price(train, normal[d], order), rel_tol=1e-5)
 
 
 def test_ppm_edges(spark, empty):
@@ -162,16 +169,35 @@ def test_ppm_edges(spark, empty):
 
 def test_ppm_is_a_distribution():
     train = [b"abab ab\n", b"ba ba\n"]
-    keys, _ = ppm.keys_of(train, 2)
+    keys, _ = ppm.keys_of(train, 3)
     nodes, counts = np.unique(keys, return_counts=True)
+    second = np.unique((nodes >> np.uint64(16) << np.uint64(8)) | (nodes & np.uint64(255)), return_counts=True)
     pairs = np.zeros(65536)
     for t in train:
         s = b"\n" + t
         for x, y in zip(s, s[1:]):
             pairs[x << 8 | y] += 1
-    for ctx in (b"ab", b"zz", b"a\n", b"\n\n"):
-        wanted = np.array([ctx[1] << 16 | ctx[0] << 8 | c for c in range(256)], np.uint64)
-        assert math.isclose((10 ** ppm.price(wanted, nodes, counts, pairs, 2)).sum(), 1, rel_tol=1e-9)
+    for ctx in (b"bab", b"xab", b"zzz", b"ba\n", b"\n\n\n"):
+        wanted = np.array([ctx[2] << 24 | ctx[1] << 16 | ctx[0] << 8 | c for c in range(256)], np.uint64)
+        assert math.isclose((10 ** ppm.price(wanted, nodes, counts, second, pairs, 3)).sum(), 1, rel_tol=1e-9)
+
+
+@pytest.mark.parametrize("text", [[b"aa b aab\n", b"\n", b"\xc3\xa9 aab\n"], [bytes(range(1, 256)) * 3 + b"\n"] * 2, []])
+@pytest.mark.parametrize("order", [3, 5, 7])
+def test_ranked_keys(text, order):
+    own, (keys, starts) = ppm.Ranked(text, order), ppm.keys_of(text, order) if text else (np.zeros(0, np.uint64), [])
+    distinct, counts = np.unique(keys, return_counts=True)
+    assert own.keys.tolist() == distinct.tolist() and own.counts(np.ones(len(keys), bool)).tolist() == counts.tolist()
+    assert own.spread(own.keys).tolist() == keys.tolist()
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(st.sampled_from("ab é\t")), max_size=6), st.integers(1, 5))
+def test_tokens(texts, parts):
+    texts = [ppm.normal(t.encode()) for t in texts]
+    own = ppm.Tokens(texts, parts)
+    assert [own.words[i] for i in own.at] == [w for t in texts for w in [*t.split(), b""]]
+    assert own.cuts[0] == 0 and own.cuts[-1] == len(own.words) and len(set(own.words)) == len(own.words)
 
 
 # 2. SimHash.
@@ -246,6 +272,7 @@ def groups_of(spark, rows):
 def test_similar_hub(spark, monkeypatch):
     """Copies alike only to one original, which is not the least id, and others alike to one copy or none."""
     monkeypatch.setattr(simhash, "BLOCK", 60)
+    monkeypatch.setattr(simhash, "FIRST_WORDS", 1)
     rng = np.random.default_rng(5)
     base = words(250, 1, 9000).split()
 
@@ -329,6 +356,43 @@ def test_mix_cells(spark, monkeypatch):
         assert abs(sum(r["taken"] for r in rs) - rs[0]["target"]) <= 40
 
 
+def test_mix_is_unequal(spark):
+    """Inclusion follows the documents' odds, and on average each is taken as often as expected."""
+    rows = [(i, words(1 if i % 4 else 60, i), "en", "a" if i % 9 else "b", 0) for i in range(300)]
+    df = frame(spark, rows).cache()
+    taken, expected = collections.Counter(), {}
+    for seed in range(8):
+        for r in mixing.mix(df, seed=seed, volume=0.8).collect():
+            taken[r["doc_id"]] += r["copies"]
+            expected[r["doc_id"]] = r["expected"]
+            assert math.floor(r["expected"] + 1e-9) <= r["copies"] <= math.ceil(r["expected"] - 1e-9)
+    assert len({round(x, 3) for x in expected.values()}) > 2
+    for short in (True, False):
+        own = [d for d in expected if (d % 4 != 0) == short]
+        want = sum(expected[d] for d in own)
+        assert abs(sum(taken[d] for d in own) / 8 - want) < 0.1 * want
+    flat = {r["doc_id"]: r["copies"] for r in mixing.mix(df, volume=0.8, appeal=F.lit(1.0)).collect()}
+    assert flat != {r["doc_id"]: r["copies"] for r in mixing.mix(df, volume=0.8).collect()}
+
+
+def test_targets(spark):
+    rng = np.random.default_rng(4)
+    for size in (1, 7, 60):
+        caps, weight = rng.integers(0, 1000, size), rng.integers(1, 6, size)
+        total = 1.5 * caps.sum()
+        df = spark.createDataFrame([(f"s{i:03}", int(c), int(w)) for i, (c, w) in enumerate(zip(caps, weight))], "source string, source_size long, weight int")
+        got = {r["source"]: r["target"] for r in mixing.fill_targets(df, total, 2.0).collect()}
+        full = np.zeros(size, bool)
+        while True:
+            level = (total - 2 * caps[full].sum()) / max(1, weight[~full].sum())
+            more = ~full & (level * weight > 2 * caps)
+            if not more.any():
+                break
+            full |= more
+        for i in range(size):
+            assert math.isclose(got[f"s{i:03}"], 2 * caps[i] if full[i] else level * weight[i], rel_tol=1e-9, abs_tol=1e-9)
+
+
 # 4. Packing.
 
 
@@ -380,6 +444,7 @@ def brute_dedup(texts, width, first=None):
 @pytest.mark.parametrize("size", [8_000_000, 3_000])
 def test_substrings(docs, empty, size, monkeypatch):
     monkeypatch.setattr(substring, "BLOCK_BYTES", size)
+    monkeypatch.setattr(substring, "WEIGHT_BYTES", 64)
     got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in substring.dedup_substrings(docs).collect()}
     want = brute_dedup(TEXT, 20)
     assert got == want and sum(n for _, n, _ in got.values()) > 100
@@ -390,13 +455,47 @@ def test_substrings(docs, empty, size, monkeypatch):
 
 
 def test_substring_index(spark, docs, tmp_path):
-    index = substring.SubstringIndex(spark, str(tmp_path / "index"), parts=3, fanout=2)
+    index = substring.SubstringIndex(spark, str(tmp_path / "index"), fanout=2)
     first: dict = {}
-    for batch in range(4):
-        rows = docs.filter(F.col("doc_id") % 4 == batch)
+    for batch in range(6):
+        rows = docs.filter(F.col("doc_id") % 6 == batch)
         got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in index.add(rows, str(tmp_path / f"out{batch}")).collect()}
-        assert got == brute_dedup({d: t for d, t in TEXT.items() if d % 4 == batch}, 20, first)
-    assert len(index.runs()) <= 2
+        assert got == brute_dedup({d: t for d, t in TEXT.items() if d % 6 == batch}, 20, first)
+        again = index.add(rows, str(tmp_path / f"out{batch}")).collect()  # as after a crash
+        assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in again} == got
+    assert len(index.runs()) <= 3
+    assert len(list((tmp_path / "index").glob("run-*"))) == len(index.runs())
+
+
+def test_substring_index_cut_off(spark, docs, tmp_path, monkeypatch):
+    """A batch whose run was never finished is compared with the earlier ones alone."""
+    index = substring.SubstringIndex(spark, str(tmp_path / "index"))
+    rows = docs.filter("doc_id < 8")
+
+    def fail(*args, **kwargs):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(substring, "window_run", fail)
+        with pytest.raises(RuntimeError):
+            index.add(rows, str(tmp_path / "out"))
+    assert sum(r["n_removed"] for r in index.add(rows, str(tmp_path / "out")).collect()) == 0
+    assert sum(r["n_removed"] for r in index.add(rows, str(tmp_path / "other")).collect()) == sum(r["n_words"] for r in index.add(rows, str(tmp_path / "other")).collect())
+
+
+def test_substring_hot_id(spark, monkeypatch):
+    """Many rows of one id, and many without any, are split and still compared in one order."""
+    monkeypatch.setattr(substring, "BLOCK_BYTES", 3_000)
+    monkeypatch.setattr(substring, "WEIGHT_BYTES", 64)
+    texts = [words(60, i % 25) for i in range(120)]
+    rows = [(5 if i % 3 else None if i % 2 else i, t, "en", None, 0) for i, t in enumerate(texts)]
+    blocked, blocks, _ = substring._blocked(frame(spark, rows), "doc_id", "text")
+    held = {r["block"]: r["n"] for r in blocked.groupBy("block").agg(F.count("*").alias("n")).collect()}
+    assert blocks > 8 and max(held) < blocks and max(held.values()) < 40
+    order = sorted(range(120), key=lambda i: (rows[i][0] is None, rows[i][0] or 0, xxhash.xxh3_64_intdigest(texts[i].encode()), texts[i]))
+    want = brute_dedup({k: texts[i] for k, i in enumerate(order)}, 20)
+    got = substring.dedup_substrings(frame(spark, rows)).collect()
+    assert sorted((repr(r["doc_id"]), r["n_removed"], r["kept"]) for r in got) == sorted((repr(rows[i][0]), *want[k][1:]) for k, i in enumerate(order))
 
 
 def test_colliding_hashes():
@@ -428,6 +527,77 @@ def test_langid(spark, empty):
     assert list(row) == ["www.x.org", "en", "yes"]
 
 
+def test_langid_posterior(spark):
+    """Probabilities straight from the definition, with every row's own vote taken out."""
+    lines = {"en": "the and of that this with from", "de": "der die und nicht ein ist mit"}
+    rng, languages, names = np.random.default_rng(2), ["de", "en"], ["de", "en", langid.UND]
+    rows = []
+    for i in range(60):
+        lang = languages[i % 3 > 0]
+        text = " ".join(rng.choice(lines[lang].split(), 1 + i % 4)) if i % 10 else "zq"
+        host = [None, "a.x.de", "b.x.de", "c.org", "nodot"][i % 5]
+        rows.append((i, text, [None, lang, "fr"][i % 3] if i % 7 else "de", host, 0))
+    df = frame(spark, rows)
+    model = langid.fit(frame(spark, [(900, lines["de"], "de", None, 0), (901, lines["en"], "en", None, 0)]), languages)
+    got = {r["doc_id"]: r for r in langid.identify(df, model, languages, text=F.col("text"), declared=F.col("lang"), host=F.col("source"), keep=["doc_id"]).collect()}
+    evidence, top = {}, {}
+    for i, text, *_ in rows:
+        found = langid.buckets_of(text.encode())
+        logs = [float(model[k, found].sum()) / langid.TEMPER for k in range(2)] + [-math.log(langid.BUCKETS) * len(found) / langid.TEMPER]
+        evidence[i] = logs
+        top[i] = int(np.argmax(np.array(logs) + np.log([(1 - langid.UND_PRIOR) / 2] * 2 + [langid.UND_PRIOR])))
+    part = lambda h: h.rsplit(".", 1)[1] if h and "." in h else None
+    site = lambda h: None if h is None else ".".join(h.split(".")[-2:])
+    features = {i: {"declared": lang, "suffix": part(host), "site": site(host), "host": host} for i, _, lang, host, _ in rows}
+    for i, *_ in rows:
+        others = [j for j in top if j != i]
+        overall = [(1 + sum(top[j] == k for j in others)) / (len(others) + 3) for k in range(3)]
+
+        def votes(column):
+            own = features[i][column]
+            same = [j for j in others if own is not None and features[j][column] == own]
+            return [sum(top[j] == k for j in same) for k in range(3)], len(same)
+
+        prior = overall
+        for column in ("site", "host"):
+            seen, n = votes(column)
+            prior = [(seen[k] + langid.STRENGTH * prior[k]) / (n + langid.STRENGTH) for k in range(3)]
+        logs = [evidence[i][k] + math.log(prior[k]) for k in range(3)]
+        for column in ("declared", "suffix"):
+            if features[i][column] is not None:
+                seen, n = votes(column)
+                share = (n + 1) / (len(rows) + 1)
+                for k in range(3):
+                    total = sum(top[j] == k for j in others)
+                    logs[k] += math.log((seen[k] + langid.STRENGTH * share) / (total + langid.STRENGTH) / share)
+        weights = np.exp(np.array(logs) - max(logs))
+        assert got[i]["found_lang"] == names[int(np.argmax(logs))] and math.isclose(got[i]["probability"], 1 / weights.sum(), rel_tol=1e-6)
+    clash = df.withColumn("host", F.lit("mine"))
+    kept = langid.identify(clash, model, languages, text=F.col("text"), host=F.col("source"), keep=["doc_id", "host"])
+    assert kept.columns.count("host") == 1 and {r["host"] for r in kept.collect()} == {"mine"}
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<p>a</p><!-- x <b> -->b<style>q</style >c", "a b c"),
+        ("a < b <i>c</i>", "a c"),
+        ("a<script>if (1<2) x</SCRIPT>b&amp;c", "a b c"),
+        ("a<!-- b <i>c", "a c"),
+        ("a<script>b", "a b"),
+        ("x <", "x <"),
+        ("", ""),
+    ],
+)
+def test_page_text(page, text):
+    assert langid.page_text(page.encode()).decode().split() == text.split()
+
+
+def test_page_text_is_linear():
+    for part in (b"<", b"<script>", b"<!--", b"<html<", b"&a", b"<style>a<"):
+        assert len(langid.page_text(part * 200_000)) > 0
+
+
 # 8. Licences.
 
 
@@ -456,7 +626,7 @@ def test_licences(spark):
 def test_licence_beside_words(n):
     """A notice is found whatever stands beside it, at every number of files."""
     share = {b"the": 0.9, b"under": 0.3, b"version": 0.05, b"license": 0.02, b"licensed": 0.02}
-    matcher = licences.Matcher(n, {t: int(share.get(t, 0.01) * n) for t in licences.vocabulary()})
+    matcher = licences.Matcher(licences.Frequencies(n, {t: int(share.get(t, 0.01) * n) for t in licences.vocabulary()}))
     for line, name in [
         ("This library is released under the MIT License.", "MIT"),
         ("Frobnicator is licensed under the Apache License, Version 2.0.", "Apache-2.0"),
@@ -467,6 +637,73 @@ def test_licence_beside_words(n):
     assert matcher.scan(b"Copyright 2024 Acme Corp. All rights are with the owner of the work.", False)[0] < licences.LEAST
 
 
+@pytest.mark.parametrize("n", [200, 10_000_000])
+def test_licence_versions(n):
+    """Notices that differ in a version, a clause or a letter, and identifier lines."""
+    matcher = licences.Matcher(licences.Frequencies(n, {t: n // 50 for t in licences.vocabulary()}))
+    gpl = "This program is free software; you can redistribute it and/or modify\n# it under the terms of the GNU {}General Public License as published by\n# the Free Software Foundation; either version {} of the License, or\n# (at your option) any later version.\n"
+    first = licences._BSD, licences._BSD_REST
+    for text, whole, name in [
+        (gpl.format("", 2), False, "GPL-2.0"), (gpl.format("", 3), False, "GPL-3.0"), (gpl.format("Affero ", 3), False, "AGPL-3.0"),
+        (gpl.format("Lesser ", "2.1"), False, "LGPL-2.1"),
+        ("Copyright (c) 2020 A B\nAll rights reserved.\n\n" + "\n\n".join(first), True, "BSD-2-Clause"),
+        ("\n\n".join([first[0], licences._BSD_THIRD, first[1]]), True, "BSD-3-Clause"),
+        ("MIT License\n\nCopyright (c) 2021 Some One\n\n" + licences._MIT + "\n\n" + licences._MIT_REST, True, "MIT"),
+        ("Licensed under CC BY-NC-SA 4.0.", False, "CC-BY-NC-SA-4.0"), ("Licensed under CC BY-NC 4.0.", False, "CC-BY-NC-4.0"),
+        ("// SPDX-License-Identifier: MIT", False, "MIT"), ("# SPDX-License-Identifier: GPL-2.0-or-later", False, "GPL-2.0"),
+        ("Copyright X. Released under the MIT License.", False, "MIT"),
+        ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc.\n Everyone is permitted to copy and distribute verbatim copies\n of this license document, but changing it is not allowed.", True, "GPL-3.0"),
+    ]:
+        score, found = matcher.scan(text.encode(), whole)
+        assert (found, score >= licences.LEAST) == (name, True), (text, score, found)
+    for text in ("SPDX-License-Identifier: WTFPL", "The museum has a licence to sell beer.", "copyright of the songs"):
+        assert matcher.scan(text.encode(), True)[0] < licences.LEAST
+
+
+@pytest.mark.parametrize("name", ["Apache-2.0", "GPL-2", "GPL-3", "LGPL-2.1", "LGPL-3", "MPL-2.0", "CC0-1.0"])
+def test_licence_files(name):
+    path = Path("/usr/share/common-licenses") / name
+    if not path.exists():
+        pytest.skip("the licence is not here")
+    matcher = licences.Matcher(licences.Frequencies(5_000, {t: 100 for t in licences.vocabulary()}))
+    score, found = matcher.scan(path.read_bytes(), True)
+    assert score >= licences.LEAST and found.startswith(name)
+
+
+def test_licence_scores(spark, docs):
+    """Frequencies and cosines against plain ones."""
+    notice = "Frobnicator v2: released under the MIT License, 2020"
+    rows = [(900 + i, f"{notice} {words(4, i)}", "en", None, 0) for i in range(3)]
+    files = docs.unionByName(frame(spark, rows))
+    texts = [*TEXT.values(), *(r[1] for r in rows)]
+    sets = [set(re.findall("[a-z0-9\x80-\U0010ffff]+", t.translate(FOLD))) for t in texts]
+    counted = licences.document_frequencies(files, "text")
+    assert counted.files == len(texts)
+    plain = collections.Counter(t for s in sets for t in s)
+    for term in set().union(*sets):
+        want = math.log((len(texts) + 1) / (plain[term] + 1)) + 1
+        assert counted.idf(term.encode()) <= want + 1e-9
+        if term.encode() in licences.vocabulary():
+            assert math.isclose(counted.idf(term.encode()), want)
+
+    def vector(terms):
+        raw = {t: (1 + math.log(c)) * counted.idf(t) for t, c in collections.Counter(terms).items()}
+        size = math.sqrt(sum(x * x for x in raw.values()))
+        return {t: x / size for t, x in raw.items()}
+
+    matcher = licences.Matcher(counted)
+    for text in (notice, rows[0][1], licences._APACHE[40:400], "public domain software"):
+        terms, best = licences.terms_of(text.encode()), (0.0, "")
+        for made in licences.TEMPLATES:
+            own = licences.terms_of(made.text.encode())
+            needs, bars = (set(licences.terms_of(x.encode())) for x in (made.needs, made.bars))
+            for part in [terms, *(terms[i : i + len(own)] for i in range(len(terms) - len(own) + 1))]:
+                if needs <= set(part) and not bars & set(part):
+                    a, b = vector(part), vector(own)
+                    best = max(best, (round(sum(x * b.get(t, 0) for t, x in a.items()), 9), made.name))
+        assert math.isclose(matcher.best(text.encode())[0], best[0], abs_tol=1e-6)
+
+
 # 10. Secrets.
 
 ASSIGN = re.compile(
