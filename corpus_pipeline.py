@@ -3,7 +3,8 @@
 A stage takes (spark, docs, sf_dir) and returns what it keeps, with the columns of
 ``documents``; the last one returns sequences.  Between stages the rows are
 written as Parquet and read again, so row numbers given by position in the files
-are stable within a stage.
+are stable within a stage.  A stage called by itself needs the same: a table that
+gives the same rows in the same order each time it is read.
 """
 
 from __future__ import annotations
@@ -57,9 +58,12 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats or leaves out documents so that sources come near their target weights."""
+    """Repeats or leaves out documents so that sources come near their target weights.
+
+    Random numbers come from ids and texts; row numbers only bring the copies back.
+    """
     rows = _numbered(docs)
-    taken = mixing.mix(rows, id_col=ROW).filter("copies > 0").select(ROW, "copies")
+    taken = mixing.mix(rows, id_col=ROW, key_col="doc_id").filter("copies > 0").select(ROW, "copies")
     out = rows.join(taken, ROW).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return out.select(*docs.columns)
 
