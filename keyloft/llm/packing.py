@@ -15,6 +15,8 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+import sys
+import types
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -36,6 +38,8 @@ BORDER = b"\x01"
 JOINED = 500
 #: Marks that the tokenizer splits off after a letter or digit; no apostrophe, which opens endings.
 MARKS = re.compile(rb"""(?<=[a-z0-9])([,.;:!?|)"]+)(?=[\x20\x09-\x0D]|\Z)""")
+#: The module in which a worker keeps its encoder.
+STATE = "keyloft_packing_state"
 #: Output rows are handed over in batches of about this many bytes of ids.
 BATCH_BYTES = 4_000_000
 
@@ -105,10 +109,11 @@ class WordEncoder:
 
 
 def encoder_of(definition: str, special_as_text: bool, remembered: int = CACHE_WORDS) -> WordEncoder:
-    """This process's encoder: what it has learnt serves later tasks of the same worker."""
-    import tokenizers
+    """This process's encoder: what it has learnt serves later tasks of the same worker.
 
-    held = tokenizers.__dict__.setdefault("_word_encoders", {})
+    Functions come to workers by value, without their modules, so it is kept in one of its own.
+    """
+    held = sys.modules.setdefault(STATE, types.ModuleType(STATE)).__dict__.setdefault("encoders", {})
     key = (hashlib.sha256(definition.encode()).digest(), special_as_text, remembered)
     if key not in held:
         held.clear()
@@ -159,7 +164,9 @@ def pack(
 
     A null or empty text gives one piece that holds ``end_id`` alone.  Repeated
     rows and repeated ids are packed each for itself; a null id is kept.  An
-    empty table gives an empty result.  Other columns are ignored.
+    empty table gives an empty result.  A very long text is encoded whole, its words
+    at a time, so a task needs about twenty times its bytes.  Other columns are
+    ignored, whatever their names.
     """
     if limit < 1 or limit & (limit - 1):
         raise ValueError("limit must be a power of two")

@@ -205,8 +205,9 @@ def scan_secrets(docs: DataFrame, *, text_col: str = "text", redact: str | None
     is replaced: every span, overlapping ones joined, becomes that string.
 
     A null text counts as empty and stays null; all other columns and all rows,
-    repeated ones too, are kept as they are.  Columns that already carry the
-    added name are replaced.
+    repeated ones too, are kept as they are.  A column that already carries the
+    added name is replaced.  Very long texts are scanned whole, in one pass.  An empty
+    table gives an empty result.
     """
     base = docs.drop("secret_spans")
     schema = base.schema

@@ -103,7 +103,8 @@ def top_k(
     no part, neither do rows without an id; vectors of different lengths do not
     meet.  Rows that repeat a query's id and vector ask once; other repeated rows are each a
     candidate.  Components beyond 2**62 and scores beyond 64 bits are clipped.  An
-    empty table gives an empty result.
+    empty table gives an empty result.  Vectors of very many components are compared
+    whole, in blocks of ``BLOCK`` rows.  Other columns are ignored, whatever their names.
     """
     marked = df.select(df[id_col].cast("long").alias("id"), df[vector_col].alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
     rows = cut(
