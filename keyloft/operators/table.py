@@ -8,6 +8,8 @@ from ..functions.vmap import VMAP, maplookup, normalize_vmap, pair, value_text
 from .inference import cast_to, classed, pickbesttyperesult, type_name
 
 RAW = "__raw__"
+#: Columns that a view or a materialized table has at most.
+MOST_COLUMNS = 10_000
 
 
 def quoted(name: str) -> Column:
@@ -68,9 +70,11 @@ class LooseTable:
         return counted.select("key_name", F.col("_c.rows").alias("frequency"), guess.alias("data_type_guess"))
 
     def _listed(self, keys: DataFrame | None, n: int | None = None) -> list[tuple[str, str]]:
-        """Keys with their types, most frequent first; a view has as many columns, so they are few."""
+        """Keys with their types, most frequent first; more than ``MOST_COLUMNS`` of them are no columns."""
         ordered = (keys or self.keys()).orderBy(F.desc("frequency"), "key_name")
-        rows = (ordered if n is None else ordered.limit(n)).collect()
+        rows = ordered.limit(MOST_COLUMNS + 1 if n is None else n).collect()
+        if len(rows) > MOST_COLUMNS:
+            raise ValueError(f"more than {MOST_COLUMNS} keys: name those that are to be columns")
         seen: dict[str, tuple[str, str]] = {}
         for r in rows:
             seen.setdefault(r["key_name"].lower(), (r["key_name"], r["data_type_guess"]))
