@@ -243,9 +243,12 @@ def q_json_reject_on_duplicate(spark, sf_dir):
     doubled = F.when(F.col("o_orderkey") % 2 == 1, F.format_string('{"A": %d, "a": 2}', "o_orderkey")).otherwise(F.format_string('{"A": %d}', "o_orderkey"))
     df = _table(spark, sf_dir, "orders").select(doubled.alias("value"))
     strict = load.load_json(spark, df, record_terminator="\n", reject_on_duplicate=True)
-    loose = load.load_json(spark, df, record_terminator="\n").rows.agg(F.count("*").alias("all_kept"), F.sum(V.mapsize(F.col(RAW))).alias("pairs"))
-    both = strict.rows.select(F.lit(1).alias("ok")).unionByName(strict.rejects.select(F.lit(0).alias("ok")))
-    return both.agg(F.count_if(F.col("ok") == 1).alias("kept"), F.count_if(F.col("ok") == 0).alias("refused")).join(loose)
+    loose = load.load_json(spark, df, record_terminator="\n").rows
+    parts = [strict.rows.select(F.lit("kept").alias("k")), strict.rejects.select(F.lit("refused").alias("k"))]
+    parts = [p.withColumn("n", F.lit(1).cast("long")) for p in parts] + [loose.select(F.lit("loose").alias("k"), V.mapsize(F.col(RAW)).alias("n"))]
+    every = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    counts = [F.count_if(F.col("k") == k).alias(name) for k, name in (("kept", "kept"), ("refused", "refused"), ("loose", "all_kept"))]
+    return every.agg(*counts, F.sum(F.when(F.col("k") == "loose", F.col("n"))).alias("pairs"))
 
 
 @_query("SELECT n_nationkey AS k, n_name AS name FROM nation")
