@@ -37,6 +37,10 @@ SLICE = 1 << 16
 PLACE_VARIANTS = 4_000_000
 #: Variants compared at once.
 CHUNK = 1 << 20
+#: Fingerprints of a place that are unfolded together.
+CROWDED = 200_000
+#: So many rows are broadcast at most.
+SMALL = 100_000
 
 
 def fingerprint(raw: bytes | None, shingle: int) -> int:
@@ -81,18 +85,25 @@ def place_bits(n: int, radius: int) -> int:
     return min(24, max(0, math.ceil(math.log2(max(1, n * each) / PLACE_VARIANTS))))
 
 
-def meet(fps: np.ndarray, place: int, bits: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links within ``radius`` that meet at variants which begin with ``place``: index pairs, a forest."""
+def meet(
+    fps: np.ndarray, place: int, bits: int, radius: int, near_side: np.ndarray | None = None, far_side: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """Links within ``radius`` that meet at variants which begin with ``place``: index pairs, a forest.
+
+    Only fingerprints of ``near_side`` unfold to the smaller radius, and only those of
+    ``far_side`` to the larger one; without these, all do.
+    """
     far, near = (radius + 1) // 2, radius // 2
+    every = np.ones(len(fps), bool)
     low = 64 - bits
     head = (fps >> np.uint64(low)) if bits else np.zeros(len(fps), np.uint64)
     apart = np.bitwise_count(head ^ np.uint64(place)).astype(np.int64)
     tail_bits = np.uint64((1 << low) - 1) if bits else np.uint64(0xFFFFFFFFFFFFFFFF)
     tail = fps & tail_bits
 
-    def unfold(reach: int, chunked: bool):
+    def unfold(reach: int, chunked: bool, side: np.ndarray | None):
         for d in range(reach + 1):
-            own = np.flatnonzero(apart == d)
+            own = np.flatnonzero((apart == d) & (every if side is None else side))
             for flips in range(reach - d + 1):
                 mask = masks(0, low, flips)
                 step = max(1, CHUNK // len(mask)) if chunked else max(1, len(own))
@@ -100,7 +111,7 @@ def meet(fps: np.ndarray, place: int, bits: int, radius: int) -> tuple[np.ndarra
                     part = own[at : at + step]
                     yield (tail[part][:, None] ^ mask[None, :]).ravel(), np.repeat(part, len(mask))
 
-    got = list(unfold(near, False))
+    got = list(unfold(near, False, near_side))
     if not got:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     words, owners = (np.concatenate(x) for x in zip(*got, strict=True))
@@ -119,7 +130,7 @@ def meet(fps: np.ndarray, place: int, bits: int, radius: int) -> tuple[np.ndarra
     slot = lambda w: ((w * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - size)).astype(np.int64)
     listed = np.zeros(1 << size, bool)
     listed[slot(words)] = True
-    for variants, who in unfold(far, True):
+    for variants, who in unfold(far, True, far_side):
         may = np.flatnonzero(listed[slot(variants)])
         variants, who = variants[may], who[may]
         at = np.minimum(np.searchsorted(words, variants), len(words) - 1)
@@ -195,13 +206,24 @@ def near_links(fps: DataFrame, radius: int, col: str = "fp") -> DataFrame:
             yield flush(held)
 
     def join(key: tuple, table: pa.Table) -> pa.Table:
-        fp = np.frombuffer(b"".join(table.column("fps").to_pylist()), np.uint64)
-        a, b = meet(np.sort(fp), key[0].as_py(), bits, radius)
-        fp = np.sort(fp).view(np.int64)
+        sides = [np.frombuffer(b"".join(table.filter(pa.array(table.column("role").to_numpy() & r > 0)).column("fps").to_pylist()), np.uint64) for r in (1, 2)]
+        fp = np.unique(np.concatenate(sides))
+        a, b = meet(fp, key[0].as_py(), bits, radius, *(np.isin(fp, side) for side in sides))
+        fp = fp.view(np.int64)
         return pa.table({"a": pa.array(fp[a]), "b": pa.array(fp[b])})
 
     places = fps.select(col).mapInArrow(deal, "place long, fps binary")
-    return places.groupBy("place").applyInArrow(join, "a long, b long")
+    # A place where very many begin alike is a grid: each block of near sides meets each of far sides.
+    held = places.groupBy("place").agg(F.sum(F.octet_length("fps") / 8).alias("n"))
+    crowded = cut(held.filter(F.col("n") > CROWDED).select("place", F.ceil(F.col("n") / CROWDED).cast("int").alias("blocks")))
+    few = crowded.count() <= SMALL
+    placed = places.join(F.broadcast(crowded) if few else crowded, "place", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    own, each = F.pmod(F.xxhash64("fps"), "blocks").cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    whole = placed.filter("blocks = 1").select("place", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(3).alias("role"), "fps")
+    split = placed.filter("blocks > 1")
+    near = split.select("place", own.alias("i"), each.alias("j"), F.lit(1).alias("role"), "fps")
+    far = split.select("place", each.alias("i"), own.alias("j"), F.lit(2).alias("role"), "fps")
+    return whole.unionByName(near).unionByName(far).groupBy("place", "i", "j").applyInArrow(join, "a long, b long")
 
 
 def simhash_components(
@@ -262,8 +284,6 @@ MOST_CHANCE = 0.19
 DROPPED = 1e-9
 #: Members and shingles of a block of a crowd, about.
 BLOCK, BLOCK_SHINGLES = 1024, 1 << 19
-#: So many ids are broadcast at most.
-SMALL = 100_000
 
 
 def bit_chance(similarity: float) -> float:

@@ -210,7 +210,9 @@ def brute_fingerprint(text, n):
     return sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes))
 
 
-def test_simhash(docs, empty):
+@pytest.mark.parametrize("crowded", [200_000, 5])
+def test_simhash(docs, empty, crowded, monkeypatch):
+    monkeypatch.setattr(simhash, "CROWDED", crowded)
     rows = simhash.simhash_components(docs).collect()
     ids = sorted(TEXT)
     fps = [brute_fingerprint(TEXT[d], 3) for d in ids]
