@@ -391,6 +391,28 @@ def cef_pairs(record: str, *, delimiter: str = " ", trim: bool = True, reject_on
     return sorted_pairs(pairs)
 
 
+_CEF_PART = r"((?:\\.|[^\\|])*+)"
+_CEF_KEY, _CEF_VALUE = r"[^ =\\]+", r"(?:\\.|[^\\=])*?"
+_CEF_NEXT = rf"(?: (?={_CEF_KEY}=)|\z)"
+_CEF_PLAIN = rf"(?s)\A[ \t\n\x0B\f\r]*CEF:(?:{_CEF_PART[1:-1]}\|){{7}}(?:[ \t]*|(?:{_CEF_KEY}={_CEF_VALUE}{_CEF_NEXT})+)\z"
+
+
+def plain_cef(text: Column) -> Column:
+    """Whether a record, parted by spaces, is of a plain shape: a whole header, then keys without spaces or escapes."""
+    return F.coalesce(F.when(F.length(text) <= FLAT_SIZE, text.rlike(_CEF_PLAIN)), F.lit(False))
+
+
+def plain_cef_vmap(text: Column) -> Column:
+    """A record that :func:`plain_cef` allows as a vmap, as :func:`cef_pairs` has it."""
+    head = r"(?s)\A[ \t\n\x0B\f\r]*CEF:" + r"\|".join([_CEF_PART] * 7) + r"\|"
+    clean = lambda c: F.regexp_replace(ascii_trim(c), r"(?s)\\([^nr])", "$1")
+    fields = F.array(*[pair(F.lit(n), clean(F.regexp_extract(text, head, i + 1))) for i, n in enumerate(CEF_HEADER)])
+    rest = F.regexp_replace(text, head, "")
+    member = rf"(?s)({_CEF_KEY})=({_CEF_VALUE}){_CEF_NEXT}"
+    keys, values = (F.regexp_extract_all(rest, F.lit(member), F.lit(i)) for i in (1, 2))
+    return normalize_vmap(F.concat(fields, F.zip_with(keys, values, lambda k, v: pair(ascii_lower(ascii_trim(k)), clean(v)))))
+
+
 _IDX_TAG = re.compile(r"^#(DRE[A-Z]+)[ \t]?", re.M)
 _IDX_FIELD = re.compile(r'\s*([^\s="]+)\s*=\s*"([^"]*)"')
 

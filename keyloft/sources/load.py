@@ -369,10 +369,13 @@ def load_cef(
     reject_on_unescaped_delimiter: bool = False,
     format: str = "",
 ) -> Loaded:
-    """Common event format."""
+    """Common event format; records of a plain shape are taken apart by built-in expressions."""
     df = records(spark, source, record_terminator).filter(F.col(_RECORD) != "")
+    plain = X.plain_cef(F.col(_RECORD)) if delimiter == " " and trim and not reject_on_unescaped_delimiter else F.lit(False)
     parse = lambda t: X.cef_pairs(t, delimiter=delimiter, trim=trim, reject_on_unescaped_delimiter=reject_on_unescaped_delimiter)
-    return finish(_checked(df, parse), columns)
+    made = df.withColumn("__kl_p", plain).withColumn("__kl_r", X.checked(parse)(F.when(~F.col("__kl_p"), F.col(_RECORD))))
+    vmap = F.when(F.col("__kl_p"), X.plain_cef_vmap(F.col(_RECORD))).otherwise(F.col("__kl_r.vmap"))
+    return finish(_parsed(made, vmap, F.col("__kl_r.reason")), columns)
 
 
 def load_regex(

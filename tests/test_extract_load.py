@@ -247,3 +247,20 @@ def test_plain_regex(spark):
     df = spark.createDataFrame([("a1",)], "value string")
     with pytest.raises(ValueError, match="no columns"):
         load.load_regex(spark, df, {"w": "string"}, pattern="(?<w>[a-z])(?<n>[0-9])", plain=True)
+
+
+@pytest.mark.parametrize(
+    "line",
+    [
+        "CEF:0|V|P|1|sig|N\\|x|5|src=1.1.1.1 msg=hello big world", " CEF:0| V |P|1|s\\\\|n|5|", "CEF:0|V|P|1|s|n|5|a=b\\=c d\\nx K=  v ",
+        "CEF:0|V|P|1|s|n|5|a=1 b=2=3", "CEF:0|V|P|1|s|n", "a=1 b=x y", "CEF:0|V|P|1|s|n|5|k y=1", "CEF:0|V|P|1|s|n|High", "CEF:0|V|P|1|s|n|5|a=\\\\ b=é",
+    ],
+)
+def test_plain_cef(spark, line, monkeypatch):
+    """Built-in expressions and the scanner agree."""
+    df, got = spark.createDataFrame([(line,)], "value string"), []
+    for size in (2000, -1):
+        monkeypatch.setattr(X, "FLAT_SIZE", size)
+        loaded = load.load_cef(spark, df)
+        got.append((maps(loaded), [tuple(r) for r in loaded.rejects.collect()]))
+    assert got[0] == got[1]
