@@ -10,6 +10,11 @@ kept with it, so a pair is passed over only when its table distance less that
 error is beyond ``r``; all others are compared by exact cosine.  Probes and codes
 therefore lose no link.
 
+What travels to the probed lists are codes: of stored vectors the code words and
+the coding error, of queries one byte a component and how far that is off, which
+widens the bound.  So a first pass over bytes tells which queries have a candidate in
+which lists, and only these are sent there whole, to be compared exactly.
+
 Centroids and code words are fitted on at most ``FIT_ROWS`` vectors, those whose
 hashes are least; every vector is indexed.  Equal vectors with equal labels are
 one entry that knows its number.  A list that many vectors share or probe is cut
@@ -32,8 +37,12 @@ from .vectors import as_bytes, matrix
 #: The bound of the sample on which centroids and code words are fitted.
 FIT_ROWS = 10_000
 MOST_LISTS = 1024
-SUBSPACES = 16
-WORDS = 64
+SUBSPACES = 8
+WORDS = 256
+#: What 32-bit sums of squares may be off by, under the root.
+ROUNDING = 2e-3
+#: Vectors dealt together.
+DEALT = 4096
 #: Stored and probing vectors of a task.
 STORED, PROBING = 4096, 8192
 #: Pairs compared at once.
@@ -151,7 +160,8 @@ def near_vectors(
     and rows without a label link with nothing; neither do vectors of different
     lengths.  Repeated rows link with each other.  A null id is passed over in the
     choice of the least; a component without any id has a null ``component_id``.
-    An empty table gives an empty result.
+    An empty table gives an empty result.  Very long vectors are compared whole.  Other
+    columns are ignored, whatever their names.
     """
     spark = df.sparkSession
     narrow = df.select(df[id_col].cast("long").alias("id"), df[label_col].alias("label"), df[vector_col].alias("v"))
@@ -182,51 +192,130 @@ def near_vectors(
     return found.select(F.col("id").alias(id_col), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def small_bytes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows as one signed byte a component, the steps of these bytes, and the lengths of what is lost."""
+    step = np.maximum(np.abs(x).max(1), 1e-30) / 127
+    small = np.rint(x / step[:, None]).astype(np.int8)
+    return small, step, np.sqrt(((x - small * step[:, None]) ** 2).sum(1))
+
+
+_DEALT = [("label", None), ("dim", pa.int32()), ("list", pa.int32()), ("role", pa.int32()), ("n", pa.int64()), ("ids", pa.binary()), ("data", pa.binary()), ("slack", pa.binary())]
+
+
 def _linked(classes: DataFrame, books, cosine: float) -> DataFrame:
     """Counts (``a``, ``n``) and forest links (``a``, ``b``) between classes."""
     radius = math.sqrt(max(0.0, 2 - 2 * cosine)) + 1e-7
     label = classes.schema["label"].dataType.simpleString()
+    where = ["label", "dim", "list"]
 
-    def deal(batches):
+    def groups(batches):
+        """Vectors of one length, with their book and their own lists."""
         known = {dim: Codebook(*state) for dim, state in books.value.items()}
         for batch in batches:
             raws = batch.column("raw").to_pylist()
             sizes = np.fromiter(map(len, raws), np.int64, len(raws))
             for dim in np.unique(sizes):
                 own = np.flatnonzero(sizes == dim)
-                for s in range(0, len(own), 4096):
-                    part = own[s : s + 4096]
+                for s in range(0, len(own), DEALT):
+                    part = own[s : s + DEALT]
                     x = matrix([raws[i] for i in part], "<f8")
-                    book = known.get(int(dim))
-                    if book is None:  # a length that the sample lacks: one list
-                        at, (who, probe) = np.zeros(len(part), np.int64), (np.arange(len(part)), np.zeros(len(part), np.int64))
-                    else:
-                        at, (who, probe) = book.near(x)[0], book.probes(x, radius)
-                    for role, i, where in ((0, np.arange(len(part)), at), (1, who, probe)):
-                        take = pa.array(part[i])
-                        cols = [batch.column(c).take(take) for c in ("cls", "label", "raw", "size")]
-                        yield pa.RecordBatch.from_arrays(
-                            [*cols, pa.array(np.full(len(i), dim, np.int32)), pa.array(where.astype(np.int32)), pa.array(np.full(len(i), role, np.int32))],
-                            ["cls", "label", "raw", "size", "dim", "list", "role"],
-                        )
-
-    dealt = classes.select("cls", "label", "raw", "size").mapInArrow(
-        deal, f"cls long, label {label}, raw binary, size long, dim int, list int, role int"
+                    book = known.get(int(dim))  # a length that the sample lacks has one list and no codes
+                    yield batch.take(pa.array(part)), int(dim), x, book, book.near(x)[0] if book else np.zeros(len(part), np.int64)
+
+    def housed(batches):
+        for rows, dim, _, _, at in groups(batches):
+            extra = [pa.array(np.full(len(at), dim, np.int32)), pa.array(at.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("cls", "label", "raw", "size")), *extra], ["cls", "label", "raw", "size", "dim", "list"])
+
+    def deal(batches):
+        for rows, dim, x, book, at in groups(batches):
+            ids, labels = rows.column("cls").to_numpy(), rows.column("label")
+            tag = np.unique(np.array(labels.to_pylist(), object).astype(str), return_inverse=True)[1]
+            small, step, lost = small_bytes(x)
+            codes, error = book.encode(x, at) if book else (np.zeros((len(x), 0), np.uint8), np.zeros(len(x)))
+            who, probe = book.probes(x, radius) if book else (np.arange(len(x)), at)
+            out = {name: [] for name, _ in _DEALT}
+            for role, i, to in ((0, np.arange(len(x)), at), (1, who, probe)):
+                order = np.lexsort((to, tag[i]))
+                i, to = i[order], to[order]
+                starts = np.flatnonzero(np.r_[True, (to[1:] != to[:-1]) | (tag[i][1:] != tag[i][:-1])])
+                for g in np.split(np.arange(len(i)), starts[1:]):
+                    own = i[g]
+                    data = codes[own] if role == 0 else np.concatenate([step[own, None].view(np.int8), small[own]], axis=1)
+                    slack = error[own] if role == 0 else lost[own]
+                    values = (labels[int(own[0])].as_py(), dim, int(to[g[0]]), role, len(own), ids[own].tobytes(), data.tobytes(), slack.tobytes())
+                    for k, v in zip(out, values, strict=True):
+                        out[k].append(v)
+            schema = pa.schema([(name, kind or labels.type) for name, kind in _DEALT])
+            yield pa.RecordBatch.from_pydict(out, schema=schema)
+
+    homes = cut(classes.select("cls", "label", "raw", "size").mapInArrow(housed, f"cls long, label {label}, raw binary, size long, dim int, list int"))
+    dealt = cut(
+        classes.select("cls", "label", "raw").mapInArrow(
+            deal, f"label {label}, dim int, list int, role int, n long, ids binary, data binary, slack binary"
+        )
     )
-    where = ["label", "dim", "list"]
+    dealt = dealt.withColumn("h", F.xxhash64("ids"))
     grid = dealt.groupBy(*where).agg(
-        F.greatest(F.lit(1), F.ceil(F.count_if(F.col("role") == 0) / STORED)).cast("int").alias("ns"),
-        F.greatest(F.lit(1), F.ceil(F.count_if(F.col("role") == 1) / PROBING)).cast("int").alias("nq"),
+        F.greatest(F.lit(1), F.ceil(F.sum(F.when(F.col("role") == 0, F.col("n")).otherwise(0)) / STORED)).cast("int").alias("ns"),
+        F.greatest(F.lit(1), F.ceil(F.sum(F.when(F.col("role") == 1, F.col("n")).otherwise(0)) / PROBING)).cast("int").alias("nq"),
     )
-    dealt = dealt.join(grid, where)
+    placed = dealt.join(cut(grid), where)
 
     def side(role: int, own: str, other: str, n_own: str, n_other: str) -> DataFrame:
-        part = dealt.filter(F.col("role") == role).withColumn(own, F.pmod(F.xxhash64("cls"), F.col(n_own)).cast("int"))
-        return part.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(n_other) - 1))).select(
-            *[F.col(c).alias(c) for c in (*where, "s", "q", "cls", "raw", "size")]
-        )
+        part = placed.filter(F.col("role") == role).withColumn(own, F.pmod("h", F.col(n_own)).cast("int"))
+        return part.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(n_other) - 1))).select(*[F.col(c).alias(c) for c in (*where, "s", "q", "ids", "data", "slack")])
+
+    def joined(table: pa.Table, name: str, kind) -> np.ndarray:
+        return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
+
+    def screen(key: tuple, kept: pa.Table, asking: pa.Table) -> pa.Table:
+        """Queries that the codes of a list's block do not rule out."""
+        out = np.zeros(0, np.int64)
+        if len(kept) and len(asking):
+            state, at = books.value.get(key[1].as_py()), key[2].as_py()
+            own, who = joined(kept, "ids", np.int64), joined(asking, "ids", np.int64)
+            if state is None:
+                out = who
+            else:
+                book, dim = Codebook(*state), key[1].as_py() // 8
+                codes, error = joined(kept, "data", np.uint8).reshape(len(own), -1), joined(kept, "slack", np.float64)
+                packed, lost = joined(asking, "data", np.int8).reshape(len(who), 8 + dim), joined(asking, "slack", np.float64)
+                q = packed[:, 8:].astype(np.float64) * packed[:, :8].copy().view(np.float64)
+                place = np.argsort(own)
+                self_at = np.minimum(np.searchsorted(own[place], who), len(own) - 1)
+                self_at = np.where(own[place[self_at]] == who, place[self_at], -1)
+                found, step = [], max(1, PAIRS // max(1, len(own)))
+                for lo in range(0, len(who), step):
+                    part = slice(lo, lo + step)
+                    near = np.zeros((len(q[part]), len(own)), np.float32)
+                    for m, table in enumerate(book.table(q[part], at)):
+                        near += table.astype(np.float32)[:, codes[:, m]]
+                    np.sqrt(np.maximum(near, 0, out=near), out=near)
+                    near -= error[None, :].astype(np.float32)
+                    mine = self_at[part]
+                    near[np.flatnonzero(mine >= 0), mine[mine >= 0]] = np.inf
+                    found.append(who[part][near.min(axis=1) <= radius + lost[part] + ROUNDING])
+                out = np.concatenate(found)
+        none = [key[i] for i in (0, 1, 2, 3)]
+        columns = [pa.array([k.as_py()] * len(out), k.type) for k in none]
+        return pa.Table.from_arrays([*columns, pa.array(out, pa.int64())], [*where, "s", "cls"])
+
+    keys = [*where, "s", "q"]
+    stored = side(0, "s", "q", "ns", "nq").groupBy(*keys)
+    left = cut(stored.cogroup(side(1, "q", "s", "nq", "ns").groupBy(*keys)).applyInArrow(screen, f"label {label}, dim int, list int, s int, cls long").distinct())
+    # The first pass dealt packed rows into blocks; the second deals the vectors of a list anew.
+    left = left.select(*where, "cls").distinct()
+    busy = left.groupBy(*where).agg(F.count("*").alias("asked"))
+    sizes = homes.groupBy(*where).agg(F.count("*").alias("held")).join(busy, where)
+    sizes = sizes.select(*where, F.ceil(F.col("held") / STORED).cast("int").alias("ns"), F.ceil(F.col("asked") / PROBING).cast("int").alias("nq"))
+    sizes = cut(sizes)
 
-    stored, probing = side(0, "s", "q", "ns", "nq"), side(1, "q", "s", "nq", "ns")
+    def whole(df: DataFrame, own: str, other: str, n_own: str, n_other: str) -> DataFrame:
+        part = df.join(sizes, where).withColumn(own, F.pmod(F.xxhash64("cls"), F.col(n_own)).cast("int"))
+        return part.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(n_other) - 1))).select(*[F.col(c).alias(c) for c in (*where, "s", "q", "cls", "raw", "size")])
+
+    asking = left.join(classes.select("cls", "raw", "size"), "cls")
 
     def meet(key: tuple, kept: pa.Table, asking: pa.Table) -> pa.Table:
         out = {"a": [], "b": [], "n": []}
@@ -240,7 +329,7 @@ def _linked(classes: DataFrame, books, cosine: float) -> DataFrame:
             nodes = np.unique(np.concatenate([own, who]))
             on, wn = np.searchsorted(nodes, own), np.searchsorted(nodes, who)
             counts = np.zeros(len(who), np.int64)
-            label, forest = np.arange(len(nodes)), []
+            label = np.arange(len(nodes))
             for a, b in compare(book, at, q, x, codes, error, cosine):
                 apart = who[a] != own[b]
                 a, b = a[apart], b[apart]
@@ -249,14 +338,12 @@ def _linked(classes: DataFrame, books, cosine: float) -> DataFrame:
                 new = la != lb
                 if new.any():
                     key2 = np.unique(np.minimum(la[new], lb[new]) * len(nodes) + np.maximum(la[new], lb[new]))
-                    lo, hi = key2 // len(nodes), key2 % len(nodes)
-                    label = local_labels(len(nodes), lo, hi)[label]
-            forest = np.flatnonzero(label != np.arange(len(nodes)))
-            some = np.flatnonzero(counts)
+                    label = local_labels(len(nodes), key2 // len(nodes), key2 % len(nodes))[label]
+            forest, some = np.flatnonzero(label != np.arange(len(nodes))), np.flatnonzero(counts)
             out["a"] = [*who[some].tolist(), *nodes[label[forest]].tolist()]
             out["b"] = [*[None] * len(some), *nodes[forest].tolist()]
             out["n"] = [*counts[some].tolist(), *[None] * len(forest)]
         return pa.table(out, schema=pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())]))
 
-    keys = [*where, "s", "q"]
-    return stored.groupBy(*keys).cogroup(probing.groupBy(*keys)).applyInArrow(meet, "a long, b long, n long")
+    stored = whole(homes, "s", "q", "ns", "nq").groupBy(*keys)
+    return stored.cogroup(whole(asking, "q", "s", "nq", "ns").groupBy(*keys)).applyInArrow(meet, "a long, b long, n long")
