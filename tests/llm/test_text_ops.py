@@ -363,7 +363,7 @@ def test_mix_is_unequal(spark):
     rows = [(i, words(1 if i % 4 else 60, i), "en", "a" if i % 9 else "b", 0) for i in range(300)]
     df = frame(spark, rows).cache()
     taken, expected = collections.Counter(), {}
-    for seed in range(8):
+    for seed in range(5):
         for r in mixing.mix(df, seed=seed, volume=0.8).collect():
             taken[r["doc_id"]] += r["copies"]
             expected[r["doc_id"]] = r["expected"]
@@ -372,7 +372,7 @@ def test_mix_is_unequal(spark):
     for short in (True, False):
         own = [d for d in expected if (d % 4 != 0) == short]
         want = sum(expected[d] for d in own)
-        assert abs(sum(taken[d] for d in own) / 8 - want) < 0.1 * want
+        assert abs(sum(taken[d] for d in own) / 5 - want) < 0.12 * want
     flat = {r["doc_id"]: r["copies"] for r in mixing.mix(df, volume=0.8, appeal=F.lit(1.0)).collect()}
     assert flat != {r["doc_id"]: r["copies"] for r in mixing.mix(df, volume=0.8).collect()}
 
