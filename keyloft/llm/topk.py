@@ -5,8 +5,10 @@ its rows sorted by that component.  Queries walk all lists at once, a few at a
 time, score every row they meet, and one stops as soon as the score that the
 walk's present depth still allows cannot beat its k-th best.
 Queries come in blocks as well, and every pair of blocks is a task of bounded
-size.  Each task hands on k rows a query; the best of these are taken by a
-window that Spark limits before the shuffle.
+size.  The first block is searched by itself: a query's k-th best score there is its
+floor in all others, which stops walks earlier and keeps lower rows from being
+handed on.  The best of what is handed on are taken by a window that Spark limits
+before the shuffle.
 """
 
 from __future__ import annotations
@@ -49,7 +51,9 @@ def _best(scores: np.ndarray, rows: np.ndarray, k: int, exact: bool) -> tuple[np
     return np.take_along_axis(scores, order, 1), np.take_along_axis(rows, order, 1)
 
 
-def threshold_search(queries: np.ndarray, own: np.ndarray, ids: np.ndarray, rows: np.ndarray, lists: np.ndarray, k: int):
+def threshold_search(
+    queries: np.ndarray, own: np.ndarray, ids: np.ndarray, rows: np.ndarray, lists: np.ndarray, k: int, floor: np.ndarray | None = None
+):
     """The ``k`` best rows for each query: scores and row numbers, best first, ties to the smaller id.
 
     ``ids`` rise; ``own`` are the ids that are no candidates of their queries;
@@ -83,10 +87,15 @@ def threshold_search(queries: np.ndarray, own: np.ndarray, ids: np.ndarray, rows
         if hi >= n:
             break
         bound = gain[live] @ rows[lists[hi - 1], dims] + loss[live] @ rows[lists[n - hi], dims]
-        live = live[bound >= best_s[live].min(axis=1)]  # an equal score could still win by its id
+        least = best_s[live].min(axis=1)
+        if floor is not None:
+            least = np.maximum(least, floor[live])
+        live = live[bound >= least]  # an equal score could still win by its id
         if not len(live):
             break
         lo, hi = hi, min(2 * hi, n)
+    if floor is not None:
+        best_r[best_s < floor[:, None]] = -1
     return best_s, best_r
 
 
@@ -138,9 +147,10 @@ def top_k(
             kind = np.float64 if most < 2**52 else object  # whole numbers stay exact either way
             data, asked = data.astype(kind), asked.astype(kind)
             own, ask = asking.column("id").to_numpy(), asking.column("ask").to_numpy()
+            floor = np.array([-(1 << 200) if f is None else f for f in asking.column("floor").to_pylist()], kind)
             for lo in range(0, len(asked), TOGETHER):
                 part = slice(lo, lo + TOGETHER)
-                scores, found = threshold_search(asked[part], own[part], ids, data, lists, k)
+                scores, found = threshold_search(asked[part], own[part], ids, data, lists, k, floor[part])
                 at, place = np.nonzero(found >= 0)
                 out["query_id"] += own[part][at].tolist()
                 out["ask"] += ask[part][at].tolist()
@@ -150,12 +160,22 @@ def top_k(
 
     packed = rows.withColumn("c", F.pmod(F.xxhash64("id", "raw"), F.lit(blocks)).cast("long"))
     packed = packed.groupBy("dim", "c").applyInArrow(pack, "dim int, c long, ids binary, data binary, lists binary")
-    packed = packed.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     asking = rows.filter("q").select("id", "raw", "dim").distinct().withColumn("ask", F.xxhash64("raw"))
     asking = asking.withColumn("g", F.pmod(F.xxhash64("id", "raw"), F.lit(groups)).cast("int"))
-    asking = asking.withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    found = packed.groupBy("dim", "c", "g").cogroup(asking.groupBy("dim", "c", "g")).applyInArrow(
-        search, "query_id long, ask long, id long, score long"
-    )
+    keys = ["dim", "c", "g"]
+
+    def searched(part: DataFrame, asking: DataFrame) -> DataFrame:
+        spread = part.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).groupBy(*keys)
+        return spread.cogroup(asking.groupBy(*keys)).applyInArrow(search, "query_id long, ask long, id long, score long")
+
+    none = F.lit(None).cast("long")
+    found = cut(searched(packed.filter("c = 0"), asking.withColumn("c", F.lit(0).cast("long")).withColumn("floor", none)))
+    if blocks > 1:
+        # Clipped scores do not tell what lies beyond them, so they are no floor.
+        floors = found.groupBy(F.col("query_id").alias("id"), "ask").agg(F.count("*").alias("n"), F.min("score").alias("floor"))
+        floors = floors.filter((F.col("n") >= k) & F.col("floor").between(-(2**62), 2**62)).select("id", "ask", "floor")
+        rest = asking.join(floors, ["id", "ask"], "left")
+        rest = rest.withColumn("c", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(blocks - 1).cast("long"))))
+        found = found.unionByName(searched(packed.filter("c > 0"), rest))
     rank = F.row_number().over(Window.partitionBy("query_id", "ask").orderBy(F.desc("score"), "id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
