@@ -37,8 +37,11 @@ def class_of(value: Column, is_map: Column | None = None) -> Column:
 
     The first character tells most types apart, so a value meets few patterns.
     """
-    v = ascii_trim(value)
-    nested = F.lit(False) if is_map is None else is_map
+    return _class(value, ascii_trim(value), F.lit(False) if is_map is None else is_map)
+
+
+def _class(value: Column, v: Column, nested: Column) -> Column:
+    """:func:`class_of` of a value that is ``v`` without white space around it."""
     digits = F.length(F.regexp_extract(v, _NUMERIC, 1)) + F.length(F.regexp_extract(v, _NUMERIC, 2))
     zoned = may_have_timezone(v)
     stamp = F.try_to_timestamp(F.when(v.rlike(rf"\A{_DAY}"), v))
@@ -81,19 +84,24 @@ def classed(df: DataFrame, value: Column, *by: Column, is_map: Column | None = N
     Values are classed once, as they are grouped, and few rows of a group are left when
     its classes are put side by side.
     """
-    v = ascii_trim(value)
+    nested = F.lit(False) if is_map is None else is_map
+    keyed = df.select(*by, value.alias("_value"), nested.alias("_nested"))
+    names = keyed.columns[: len(by)]
+    # A column of its own is trimmed once, not again in each pattern.
+    keyed = keyed.withColumn("_v", ascii_trim(F.col("_value")))
+    v = F.col("_v")
     scale = F.length(F.regexp_extract(v, _NUMERIC, 2))
     whole = F.length(F.regexp_replace(F.regexp_extract(v, _NUMERIC, 1), "^0+", ""))
-    first = df.groupBy(*by, class_of(value, is_map).alias("_kind")).agg(
+    first = keyed.groupBy(*[F.col(f"`{c}`") for c in names], _class(F.col("_value"), v, F.col("_nested")).alias("_kind")).agg(
         F.count(F.lit(1)).alias("_n"),
-        F.coalesce(F.max(F.octet_length(value)), F.lit(0)).alias("_len"),
+        F.coalesce(F.max(F.octet_length("_value")), F.lit(0)).alias("_len"),
         F.coalesce(F.max(whole), F.lit(0)).alias("_whole"),
         F.coalesce(F.max(scale), F.lit(0)).alias("_scale"),
     )
     kind, n = F.col("_kind"), F.col("_n")
     number = kind.isin("Numeric", "Int8")
     none = F.lit(0).cast("long")
-    return first.groupBy(*[c for c in first.columns if not c.startswith("_")]).agg(
+    return first.groupBy(*[F.col(f"`{c}`") for c in names]).agg(
         F.struct(
             *[F.coalesce(F.sum(F.when(kind == t, n)), none).alias(t) for t in TYPES],
             F.coalesce(F.max("_len"), F.lit(0)).alias("len"),
